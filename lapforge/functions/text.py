@@ -5,14 +5,14 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _ascii(value: str) -> str:
     return unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode("ascii")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_ascii(s: pd.Series) -> pd.Series:
     """Lower case, accents dropped, non-ASCII dropped. Spark has no compatibility decomposition."""
     return s.map(lambda v: None if v is None else _ascii(v.strip().lower()))
@@ -31,7 +31,7 @@ def slug(c: str | Column, max_len: int = 40) -> Column:
     return F.substring(F.when(joined == "", F.lit("unknown")).otherwise(joined), 1, max_len)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of a to b (not symmetric); 0 when either is empty."""
     matcher = SequenceMatcher(None)

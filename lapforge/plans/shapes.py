@@ -24,9 +24,9 @@ SELECT 1000 + l_suppkey + CASE WHEN l_orderkey % 83 = 0 THEN 1 ELSE 0 END AS mee
   CASE WHEN l_orderkey % 7  = 0 THEN NULL ELSE 250 + l_quantity END AS st_speed,
   CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE 240 + l_quantity END AS i1_speed,
   CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 230 + l_quantity END AS i2_speed,
-  CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_extendedprice / 4000 + l_discount END AS duration_sector_1,
-  CASE WHEN l_orderkey % 19 = 0 THEN NULL ELSE l_extendedprice / 2000 + l_tax END AS duration_sector_2,
-  CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE l_extendedprice / 4000 + l_quantity / 25 END AS duration_sector_3,
+  CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_extendedprice / 5000 + l_discount END AS duration_sector_1,
+  CASE WHEN l_orderkey % 19 = 0 THEN NULL ELSE l_extendedprice / 2500 + l_tax END AS duration_sector_2,
+  CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE l_extendedprice / 2500 + l_quantity / 25 END AS duration_sector_3,
   CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00'
     + (l_orderkey % 720) * INTERVAL '1' HOUR + l_linenumber * INTERVAL '7' MINUTE END AS date_start,
   l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax,
@@ -100,6 +100,23 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 """
 
 
+# Laps with weather and a source file, as the dataset step would hand them on.
+FACTS = f"""
+SELECT *, date_trunc('hour', date_start) AS lap_hour_utc,
+  CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 15 + 100 * l_tax END AS temp,
+  CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE 30 + 500 * l_discount END AS rhum,
+  1000 + l_quantity AS pres, CAST(NULL AS DOUBLE) AS wspd, CAST(NULL AS DOUBLE) AS wdir,
+  CASE WHEN l_orderkey % 4 = 0 THEN l_discount END AS prcp, CAST(NULL AS DOUBLE) AS cldc,
+  concat('laps_session_', session_key, '.csv') AS __source_file
+FROM ({LAPS}) l
+"""
+
+EVENTS = """
+SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value, event_type = 'error' AS failed FROM {events}
+"""
+LATENCY_BOUNDS = [1.0, 2.5, 5.0, 10.0, 25.0, 50.0]
+
+
 class Shapes:
     """Given tables and their timing views for one folder."""
 
@@ -115,6 +132,8 @@ class Shapes:
         return self.spark.sql(sql, **used)
 
     laps = cached_property(lambda self: self.view(LAPS))
+    facts = cached_property(lambda self: self.view(FACTS))
+    events = cached_property(lambda self: self.view(EVENTS))
     sessions = cached_property(lambda self: self.view(SESSIONS))
     sessions_twice = cached_property(lambda self: self.view(SESSIONS_TWICE))
     weather = cached_property(lambda self: self.view(WEATHER))
