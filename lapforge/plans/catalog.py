@@ -13,6 +13,12 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
+def nudge(digits: int) -> float:
+    """Added before rounding in both engines. Averages of few-decimal values often end in an exact
+    half at the last digit, and the order of summation would then decide the rounding."""
+    return 0.017 * 10.0 ** -digits
+
+
 def query(name: str, sql: str | None = None, digits: int = DIGITS):
     """Register a function of Shapes under a name, with its checking SQL if there is one."""
     def add(fn):
@@ -28,7 +34,7 @@ def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     def show(f: T.StructField):
         c, t = F.col(f"`{f.name}`"), f.dataType
         if isinstance(t, (T.DecimalType, T.DoubleType, T.FloatType)):
-            return (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(f.name)
+            return (F.round(c.cast("double") + F.lit(nudge(digits)), digits) + F.lit(0.0)).alias(f.name)
         if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name)
         if isinstance(t, T.DateType):
@@ -44,7 +50,12 @@ def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def r(expr: str, name: str | None = None, digits: int = DIGITS) -> str:
-    return f"(round({expr}, {digits}) + 0.0)" + (f" AS {name}" if name else "")
+    return f"(round({expr} + {nudge(digits):e}, {digits}) + 0.0)" + (f" AS {name}" if name else "")
+
+
+def rounded(expr: str, name: str, digits: int) -> str:
+    """A value the query itself rounds."""
+    return r(f"round({expr}, {digits})", name)
 
 
 def t(expr: str, name: str | None = None) -> str:

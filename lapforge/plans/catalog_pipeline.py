@@ -7,7 +7,7 @@ from lapforge.operators import clean, context, dataset, ordered, profile, qualit
 from lapforge.plans import pipeline, shapes as S
 from lapforge.plans.catalog import (BOUNDS, CLEAN, CTX, DIM_CIRCUITS, DIM_DRIVERS, DIM_SESSIONS, DRIVERS_V, FACTS, FACTS_V, JOINED,
                                     LABELLED, LAPS, MAPPING, ORDER, PIPE, RULE0, SCOPE, SESSIONS, SESSIONS_TWICE, URL_STATIONS,
-                                    URLS, WEATHER, cols, ctes, query, r, t)
+                                    URLS, WEATHER, cols, ctes, query, r, rounded, t)
 from lapforge.sources import landing, pages, sinks
 
 # ---- sources ------------------------------------------------------------------------------------
@@ -23,7 +23,7 @@ RAW_LAPS = """SELECT CAST(meeting_key AS VARCHAR(20)) AS meeting_key, CAST(sessi
 @query("typed_lap_records", ctes(("raw", RAW_LAPS), ("known", f"SELECT * FROM ({S.SESSIONS}) k WHERE session_type = 'Race'")) + f"""
 SELECT CAST(raw.session_key AS BIGINT) AS session_key, any_value(known.year) AS year, count(*) AS n,
   count(TRY_CAST(driver_number AS BIGINT)) AS n_driver, count(TRY_CAST(lap_duration AS DOUBLE)) AS n_lap,
-  count(TRY_CAST(raw.date_start AS TIMESTAMP)) AS n_start, {r("sum(TRY_CAST(lap_duration AS DOUBLE))", "total", 4)},
+  count(TRY_CAST(raw.date_start AS TIMESTAMP)) AS n_start, {rounded("sum(TRY_CAST(lap_duration AS DOUBLE))", "total", 4)},
   count(CASE WHEN is_pit_out_lap = 'true' THEN 1 END) AS n_pit
 FROM raw LEFT JOIN known ON CAST(raw.session_key AS BIGINT) = known.session_key GROUP BY 1""")
 def _(s: S.Shapes):
@@ -124,7 +124,7 @@ def _(s): return facts(s)
 
 
 @query("load_summary", ctes(FACTS_V, FACTS) + f"""SELECT count(*) AS total_laps, count(DISTINCT session_key) AS sessions,
-  count(DISTINCT driver_number) AS drivers, min(year) AS min_year, max(year) AS max_year, {r("avg(CAST(lap_duration AS DOUBLE))", "avg_lap_duration", 3)},
+  count(DISTINCT driver_number) AS drivers, min(year) AS min_year, max(year) AS max_year, {rounded("avg(CAST(lap_duration AS DOUBLE))", "avg_lap_duration", 3)},
   count(CASE WHEN temp IS NULL THEN 1 END) AS missing_temp FROM facts""")
 def _(s): return star.load_summary(facts(s))
 
