@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lapforge import constants as K
 from lapforge.functions.text import encoded_name
 from lapforge.functions.timing import avg_speed, lap_progress
-from lapforge.operators.ordered import fill_forward, melt, prefix_sums, select_quantiles, value_counts
+from lapforge.operators.ordered import HOT_ROWS, fill_forward, group_medians, hot_groups, prefix_sums
 from lapforge.operators.serve import typical_max_laps
 from lapforge.operators.shape import feature_columns
 from lapforge.session import freeze, lookup
@@ -21,49 +21,35 @@ GROUP = ["circuit_key", "driver_number"]
 FILL_ORDER = ["lap_number", "driver_number"]
 
 
-def _medians(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return select_quantiles(counts, keys, "value", "n", {"median": 0.5}).drop("n")
-
-
-def _single_row(long: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """feature -> median; at most one row per column."""
-    found = {r["feature"]: r["median"] for r in long.collect()}
-    return {c: found.get(c) for c in columns}
-
-
 def _fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
     usable = {c: v for c, v in values.items() if v is not None}
     return df.select(*[F.coalesce(F.col(c), F.lit(usable[c])).alias(c) if c in usable else F.col(c) for c in df.columns])
 
 
-def impute_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def global_medians(df: DataFrame, columns: Sequence[str], hot_rows: int | None = None) -> dict[str, float]:
+    """Exact median of each column."""
+    if not columns:
+        return {}
+    row = group_medians(df, [], columns, hot_rows).first()
+    return {c: row[f"{c}_median"] for c in columns}
+
+
+def impute_groups(df: DataFrame, columns: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Null -> median of (circuit, driver), else median of the column as it stands after that fill.
 
-    Both come from one table of value counts: the second distribution is the first plus each
-    group's median counted once per filled row.
+    The second median is computed only for columns that still have nulls then, which the group
+    table tells without another look at the rows.
     """
-    long = melt(df, GROUP, columns)
-    counts = freeze(long.groupBy(*GROUP, "feature", "value").agg(F.count(F.lit(1)).alias("n")))
-    present = counts.where("value IS NOT NULL")
-    in_group = present.where(F.col(GROUP[0]).isNotNull() & F.col(GROUP[1]).isNotNull())
-    medians = freeze(_medians(in_group, ["feature", *GROUP]))
-    filled = counts.where("value IS NULL").join(medians, ["feature", *GROUP]).select(
-        "feature", F.col("median").alias("value"), "n")
-    after = present.select("feature", "value", "n").unionByName(filled).groupBy("feature", "value").agg(F.sum("n").alias("n"))
-    overall = _single_row(_medians(after, ["feature"]), columns)
-    wide = lookup(medians.groupBy(*GROUP).agg(*[
-        F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"_{c}_median") for c in columns]))
-    joined = df.join(wide, GROUP, "left")
-    return joined.select(*[
-        F.coalesce(F.col(c), F.col(f"_{c}_median"), F.lit(overall[c])).alias(c) if c in columns else F.col(c)
-        for c in df.columns])
-
-
-def global_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians of many columns in one counting pass."""
-    if not columns:
-        return {}
-    return _single_row(_medians(value_counts(melt(df, [], columns), ["feature"], "value"), ["feature"]), columns)
+    columns = list(columns)
+    groups = lookup(group_medians(df, GROUP, columns, hot_rows))
+    filled = df.join(groups, GROUP, "left").select(*[
+        F.coalesce(F.col(c), F.col(f"{c}_median")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    keyless = F.count_if(F.col(GROUP[0]).isNull() | F.col(GROUP[1]).isNull())
+    holes = groups.agg(*[
+        F.coalesce(F.sum(F.when(F.col(f"{c}_median").isNull(), F.col(f"{c}_nulls"))), F.lit(0)).alias(c)
+        for c in columns]).first()
+    open_columns = columns if df.agg(keyless).first()[0] else [c for c in columns if holes[c]]
+    return _fill(filled, global_medians(filled, open_columns, hot_rows))
 
 
 def impute(df: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -72,17 +58,22 @@ def impute(df: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
     sport = [c for c in K.SPORT_COLS if c in df.columns]
     weather = [c for c in K.WEATHER_COLS if c in df.columns]
     filled = impute_groups(df, sport) if sport else df
-    if weather:
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in weather]).first()
+    # A column without nulls has nothing to fill, one without values nothing to carry.
+    gappy = [c for c in weather if 0 < counted[c] < counted["_rows"]]
+    if gappy:
         order = FILL_ORDER + [c for c in tiebreak if c not in FILL_ORDER]
-        filled = freeze(fill_forward(filled, ["session_key"], order, weather))
+        filled = fill_forward(filled, ["session_key"], order, gappy)
+    filled = freeze(filled)
     numeric = [f.name for f in filled.schema.fields if isinstance(f.dataType, T.NumericType)]
-    with_nulls = filled.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).first().asDict()
-    todo = [c for c in numeric if with_nulls[c]]
+    known = filled.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in numeric]).first()
+    todo = [c for c in numeric if 0 < known[c] < known["_rows"]]
     return _fill(filled, global_medians(filled, todo))
 
 
 def stratified_flag(df: DataFrame, stratum: str = "circuit_key", test_size: float = K.TEST_SIZE,
-                    seed: int = K.SEED, key: Sequence[str] = K.LAP_KEY, flag: str = "is_train") -> DataFrame:
+                    seed: int = K.SEED, key: Sequence[str] = K.LAP_KEY, flag: str = "is_train",
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mark ceil((1 - test_size) * n) rows per stratum as train, by a seeded hash of the key.
 
     The mark depends only on the rows, never on their layout. Rows with the same key get the same
@@ -91,7 +82,7 @@ def stratified_flag(df: DataFrame, stratum: str = "circuit_key", test_size: floa
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
     marked = df.withColumn("_digest", digest)
     counts = marked.groupBy(stratum, "_digest").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, [stratum], ["_digest"], ["_n"])
+    ranked = prefix_sums(counts, [stratum], ["_digest"], ["_n"], hot_groups(df, [stratum], hot_rows))
     quota = F.ceil(F.col("_n_total") * F.lit(1 - test_size) - F.lit(1e-9))
     limit = lookup(ranked.where(F.col("_n_upto") - F.col("_n") < quota).groupBy(stratum).agg(F.max("_digest").alias("_limit")))
     cond = marked[stratum].eqNullSafe(limit[stratum])
@@ -158,11 +149,14 @@ class DerivedFeatures:
 
 
 def preprocess(dataset: DataFrame, split: str = "stratified", tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Imputed, flagged, encoded and derived dataset, ready for feature_columns and training."""
-    filled = impute(dataset, tiebreak)
-    flagged = freeze(stratified_flag(filled) if split == "stratified" else temporal_flag(filled))
-    encoded = TargetEncoder.fit(flagged, ["circuit_key", "year"]).apply(flagged)
-    return DerivedFeatures.fit(flagged).apply(encoded)
+    """Flagged, imputed, encoded and derived dataset, ready for model_columns and training.
+
+    The flag needs only keys, so it is set first and travels through the one frozen copy.
+    """
+    flagged = stratified_flag(dataset) if split == "stratified" else temporal_flag(dataset)
+    filled = impute(flagged, tiebreak)
+    encoded = TargetEncoder.fit(filled, ["circuit_key", "year"]).apply(filled)
+    return DerivedFeatures.fit(filled).apply(encoded)
 
 
 def model_columns(df: DataFrame) -> list[str]:

@@ -1,67 +1,113 @@
 """Order-dependent work that survives a group holding a large share of all rows.
 
-A window over such a group would sort it in one task. Here the whole input is range-partitioned
-on (keys, order), so a hot group spreads over many chunks; windows run inside a chunk, and only
-one summary row per (group, chunk) travels between chunks.
+Groups are measured first, by their key columns alone. A group of ordinary size goes through the
+built-in aggregate or window, which handles it in one task. A hot group takes the chunked way: its
+rows are range-partitioned on (keys, order), so it spreads over many chunks; windows run inside a
+chunk, and only one summary row per (group, chunk) travels between chunks. Both give the same rows.
 """
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapforge.session import freeze
+from lapforge.session import freeze, lookup
 
 CHUNK = "_chunk"
+# Rows one task may hold of one group: values kept in memory by an aggregate, rows sorted by a window.
+HOT_VALUES = 200_000
+HOT_ROWS = 1_000_000
+# Marks "every group is hot" for prefix_sums.
+ALL = "all"
 
 
-def order_chunks(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Number the range partitions of df on order_by.
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | str | None:
+    """Keys of the groups with more than limit rows; None when there are none, ALL without keys.
 
-    Sampled range bounds may differ between two runs of the same plan, so the numbered rows are
-    frozen before anyone reads the number twice.
+    There are at most rows / limit of them.
     """
-    return freeze(df.repartitionByRange(*order_by).withColumn(CHUNK, F.spark_partition_id()))
+    if not keys:
+        return ALL if df.limit(limit + 1).count() > limit else None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = lookup(sizes.where(F.col("_rows") > limit).select(*keys))
+    return hot if hot.limit(1).count() else None
 
 
-def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = left[CHUNK] == right[f"_r{CHUNK}"]
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality on keys; right holds them renamed by _renamed."""
+    cond = F.lit(True)
     for k in keys:
         cond = cond & left[k].eqNullSafe(right[f"_r_{k}"])
     return cond
 
 
 def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    df = df.withColumnRenamed(CHUNK, f"_r{CHUNK}")
     for k in keys:
         df = df.withColumnRenamed(k, f"_r_{k}")
     return df
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], sums: Sequence[str]) -> DataFrame:
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of hot groups)."""
+    right = _renamed(hot, keys)
+    cond = _match(df, right, keys)
+    return df.join(right, cond, "left_anti"), df.join(right, cond, "left_semi")
+
+
+def order_chunks(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Number the range partitions of df on order_by.
+
+    Sampled range bounds may differ between two runs of the same plan, so the numbered rows are
+    frozen before anyone reads the number twice.
+    """
+    return freeze(df.repartitionByRange(*order_by).withColumn(CHUNK, F.spark_partition_id()))
+
+
+def _by_chunk(chunks: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    right = _renamed(summary, [*keys, CHUNK])
+    return chunks.join(right, _match(chunks, right, [*keys, CHUNK]))
+
+
+def _upto(group: Sequence[str], order_by: Sequence[str]) -> Window:
+    return Window.partitionBy(*group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], sums: Sequence[str],
+                hot: DataFrame | str | None = ALL) -> DataFrame:
     """Add <s>_upto (running sum, inclusive) and <s>_total for each column in sums."""
-    keys, order_by = list(keys), list(order_by)
+    keys, order_by, sums = list(keys), list(order_by), list(sums)
+    if hot is None:
+        return df.select(*df.columns, *[F.sum(s).over(_upto(keys, order_by)).alias(f"{s}_upto") for s in sums],
+                         *[F.sum(s).over(Window.partitionBy(*keys)).alias(f"{s}_total") for s in sums])
+    if hot is not ALL:
+        ordinary, big = split_hot(df, keys, hot)
+        return prefix_sums(ordinary, keys, order_by, sums, None).unionByName(prefix_sums(big, keys, order_by, sums))
     chunks = order_chunks(df, keys + order_by)
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*keys)
     per_chunk = chunks.groupBy(*keys, CHUNK).agg(*[F.sum(s).alias(s) for s in sums])
     offsets = per_chunk.select(
         *keys, CHUNK,
-        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_before") for s in sums],
-        *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
-    )
-    right = _renamed(offsets, keys)
-    joined = chunks.join(right, _same_group(chunks, right, keys))
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_{s}_before") + F.sum(s).over(inside)).alias(f"{s}_upto") for s in sums],
-        *[f"{s}_total" for s in sums],
-    )
-
-
-def select_quantiles(counts: DataFrame, keys: Sequence[str], value: str, n: str,
-                     probs: dict[str, float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles from (keys, value, n) rows; adds the row count `n`."""
+        *[F.coalesce(F.sum(s).over(_before(keys)), F.lit(0)).alias(f"_{s}_before") for s in sums],
+        *[F.sum(s).over(Window.partitionBy(*keys)).alias(f"{s}_total") for s in sums])
+    inside = _upto([*keys, CHUNK], order_by)
+    return _by_chunk(chunks, offsets, keys).select(
+        *df.columns, *[(F.col(f"_{s}_before") + F.sum(s).over(inside)).alias(f"{s}_upto") for s in sums],
+        *[f"{s}_total" for s in sums])
+
+
+def _values_limit(keys: Sequence[str]) -> int:
+    """An aggregating task holds many groups at once, but only one group when there are no keys."""
+    return HOT_VALUES if keys else HOT_ROWS
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+
+
+def select_quantiles(counts: DataFrame, keys: Sequence[str], value: str, n: str, probs: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles from (keys, value, n) rows of hot groups; adds the row count `n`."""
     keys = list(keys)
     ranked = prefix_sums(counts, keys, [value], [n])
     upto, total = F.col(f"{n}_upto"), F.col(f"{n}_total")
@@ -79,13 +125,28 @@ def select_quantiles(counts: DataFrame, keys: Sequence[str], value: str, n: str,
     return ranked.groupBy(*keys).agg(F.max(total).alias("n"), *picks).select(*keys, "n", *outs)
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
-
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+              hot_rows: int | None = None) -> DataFrame:
+    """Exact quantiles of value per group, with the number of values `n`.
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles of value per group: equal values are counted before anything is shuffled."""
-    return select_quantiles(value_counts(df, keys, value), keys, value, "n", probs)
+    In a hot group equal values are counted before anything is ordered.
+    """
+    keys = list(keys)
+    hot_rows = hot_rows or _values_limit(keys)
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
+    hot = hot_groups(known, keys, hot_rows)
+    if hot is ALL:
+        return select_quantiles(value_counts(known, keys, value), keys, value, "n", probs)
+    ordinary, big = (known, None) if hot is None else split_hot(known, keys, hot)
+    names = list(probs)
+    array = F.percentile(value, [float(probs[q]) for q in names]).alias("_q")
+    small = ordinary.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), array).select(
+        *keys, "n", *[F.col("_q")[i].alias(q) for i, q in enumerate(names)])
+    if not keys:
+        small = small.where("n > 0")
+    if big is None:
+        return small
+    return small.unionByName(select_quantiles(value_counts(big, keys, value), keys, value, "n", probs))
 
 
 def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "feature",
@@ -95,26 +156,65 @@ def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str =
     return casted.unpivot(list(keep), list(columns), name, value)
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """Exact medians of several columns per group, as <c>_median, with the null count as <c>_nulls."""
+    keys, columns = list(keys), list(columns)
+    hot_rows = hot_rows or _values_limit(keys)
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns]
+    known = df.dropna(subset=keys).select(*keys, *columns) if keys else df.select(*columns)
+    hot = hot_groups(known, keys, hot_rows)
+    ordinary, big = (known, None) if hot is None else (None, known) if hot is ALL else split_hot(known, keys, hot)
+    parts = []
+    if ordinary is not None:
+        parts.append(ordinary.groupBy(*keys).agg(
+            *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"{c}_median") for c in columns], *nulls))
+    if big is not None:
+        counts = value_counts(melt(big, keys, columns), ["feature", *keys], "value")
+        long = select_quantiles(counts, ["feature", *keys], "value", "n", {"median": 0.5})
+        medians = long.groupBy(*keys).agg(*[
+            F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"{c}_median") for c in columns])
+        if keys:
+            parts.append(big.groupBy(*keys).agg(*nulls).join(medians, keys, "left"))
+        else:
+            found = medians.select(F.struct(*medians.columns)).scalar()
+            parts.append(big.agg(*nulls).withColumn("_m", found).select(
+                *[f"_m.{c}_median" for c in columns], *[f"{c}_nulls" for c in columns]))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select(*keys, *[f"{c}_median" for c in columns], *[f"{c}_nulls" for c in columns])
+
+
+def fill_forward(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str],
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Replace nulls by the last non-null value at or before the row, within keys."""
-    keys, order_by = list(keys), list(order_by)
+    keys, order_by, columns = list(keys), list(order_by), list(columns)
+    hot = hot_groups(df, keys, hot_rows)
+    ordinary, big = (df, None) if hot is None else (None, df) if hot is ALL else split_hot(df, keys, hot)
+    parts = []
+    if ordinary is not None:
+        window = _upto(keys, order_by)
+        parts.append(ordinary.select(*[
+            F.last(c, ignorenulls=True).over(window).alias(c) if c in columns else F.col(c) for c in df.columns]))
+    if big is not None:
+        parts.append(_fill_by_chunk(big, keys, order_by, columns))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _fill_by_chunk(df: DataFrame, keys: list[str], order_by: list[str], columns: list[str]) -> DataFrame:
     chunks = order_chunks(df, keys + order_by)
     place = F.struct(*order_by)
     last_of_chunk = chunks.groupBy(*keys, CHUNK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns])
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = last_of_chunk.select(
-        *keys, CHUNK, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_{c}_carried") for c in columns])
-    right = _renamed(carried, keys)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    filled = {c: F.coalesce(F.last(chunks[c], ignorenulls=True).over(inside), F.col(f"_{c}_carried"))
-              for c in columns}
-    return chunks.join(right, _same_group(chunks, right, keys)).select(
-        *[filled[c].alias(c) if c in filled else chunks[c] for c in df.columns])
+        *keys, CHUNK, *[F.last(c, ignorenulls=True).over(_before(keys)).alias(f"_{c}_carried") for c in columns])
+    inside = _upto([*keys, CHUNK], order_by)
+    return _by_chunk(chunks, carried, keys).select(*[
+        F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_{c}_carried")).alias(c) if c in columns else F.col(c)
+        for c in df.columns])
 
 
-def positions(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
+def positions(df: DataFrame, order_by: Sequence[str], name: str = "position", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the zero-based position of each row in the global order, and the row count as <name>_total."""
-    numbered = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), [], order_by, ["_one"])
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    numbered = prefix_sums(one, [], order_by, ["_one"], hot_groups(df, [], hot_rows))
     return numbered.select(*df.columns, (F.col("_one_upto") - 1).alias(name),
                            F.col("_one_total").alias(f"{name}_total"))

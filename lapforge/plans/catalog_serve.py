@@ -9,6 +9,7 @@ from lapforge.plans import shapes as S
 from lapforge.plans.catalog import (DIM_CIRCUITS, DIM_DRIVERS, DRIVERS_V, EVENTS, FACTS, FACTS_V, LAPS, ORDER, SESSIONS, SESSIONS_TWICE,
                                     cols, ctes, query, r, rounded, t)
 from lapforge.plans.catalog_pipeline import facts
+from lapforge.sources import stream
 from lapforge.streaming import rules
 
 FACT_PARTS = [FACTS_V, FACTS]
@@ -571,3 +572,27 @@ HELD = [("bad", "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY w
 def _(s):
     samples = rules.rule_samples(rules.sliding_metrics(s.events, ["event_type"], B), "mean_value", ">", 12.0)
     return rules.held(samples, ["event_type"], 5)
+
+
+def event_stream(s):
+    return stream.event_stream(s.spark, s.folder, "events.parquet")
+
+
+# The streams end with the data: windows that end after the last watermark stay open.
+CLOSED = "window_end <= (SELECT max(ts) FROM events_v) - INTERVAL '10' MINUTE"
+
+@query("stream_sliding_metrics", ctes(EVENTS, MINUTE, WIDE) + f"{SLIDING} WHERE {CLOSED}")
+def _(s): return rules.run_available(rules.sliding_metrics(event_stream(s), ["event_type"], B), "sliding")
+
+
+@query("stream_label_counters", ctes(EVENTS) + f"""SELECT {t("m", "window_start")}, event_type, failed, n FROM (SELECT date_trunc('minute', ts) AS m, event_type, failed,
+  count(*) AS n FROM events_v GROUP BY 1, 2, 3) x WHERE m + INTERVAL '1' MINUTE <= (SELECT max(ts) FROM events_v) - INTERVAL '10' MINUTE""")
+def _(s): return rules.run_available(rules.label_counters(event_stream(s), ["event_type", "failed"]), "counters")
+
+
+@query("stream_held_condition", ctes(EVENTS, MINUTE, WIDE, *HELD) + f"""SELECT event_type, {t("window_end", "window_end")}, {t("since", "since")},
+  window_end - since >= INTERVAL '5' MINUTE AS firing FROM held WHERE {CLOSED}""")
+def _(s):
+    windows = rules.relay(rules.sliding_metrics(event_stream(s), ["event_type"], B), "windows")
+    samples = rules.rule_samples(windows, "mean_value", ">", 12.0)
+    return rules.run_available(rules.held_stream(samples, ["event_type"], 5), "held")

@@ -1,6 +1,7 @@
 """Session settings, durable freezing of intermediate tables, and size-checked lookups."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -27,18 +28,30 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder every executor shares.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session
-    without that setting gets a temporary one; on a cluster a missing setting is an error.
+    It is the one the cluster names in spark.checkpoint.dir. Only a local session without that
+    setting gets a temporary one; on a cluster a missing setting is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lapforge-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder as a reliable checkpoint and read it back: later steps neither
+    recompute it nor lose it with an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
