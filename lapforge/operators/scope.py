@@ -18,7 +18,7 @@ def build_scope(sessions: DataFrame, years: Sequence[int] | None = None, session
     if "date_start" in df.columns:
         df = df.withColumn("session_start_hour_utc", floor_hour("date_start"))
     ends = [c for c in ("year", "meeting_key", "date_start") if c in df.columns]
-    return first_per_key(df, ["session_key"], [*ends, F.struct(*[F.col(c).cast("string") for c in df.columns])])
+    return first_per_key(df, ["session_key"], ends + [c for c in df.columns if c not in ends and c != "session_key"])
 
 
 def ends_before_start(scope: DataFrame) -> DataFrame:
@@ -59,6 +59,6 @@ def circuits_in_use(sessions: DataFrame, years: Sequence[int] | None = None) ->
 
 def latest_drivers(drivers: DataFrame) -> DataFrame:
     """One row per driver number: the record of the most recent session."""
-    tie = [F.col(c).cast("string") for c in drivers.columns]
-    order = [F.col("session_key").desc_nulls_last(), F.struct(*tie)] if "session_key" in drivers.columns else [F.struct(*tie)]
+    recent = [F.col("session_key").desc_nulls_last()] if "session_key" in drivers.columns else []
+    order = recent + [c for c in drivers.columns if c not in ("driver_number", "session_key")]
     return first_per_key(drivers.dropna(subset=["driver_number"]), ["driver_number"], order)

@@ -1,13 +1,14 @@
 """Queries over the star schema and the inputs of batch scoring."""
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapforge import constants as K
 from lapforge.functions.timing import avg_speed, format_lap_time, lap_progress, signed_delta
 from lapforge.operators.shape import require, top_per_key, where_given
-from lapforge.session import lookup
+from lapforge.session import freeze, lookup
 
 PAGE_ORDER = ["session_key", "driver_number", "lap_number"]
 
@@ -40,13 +41,18 @@ def list_sessions(sessions: DataFrame, year=None, circuit_key=None, limit: int =
         .orderBy(F.col("date_start").desc_nulls_first(), "session_key").limit(_limit(limit, K.MAX_SESSION_LIMIT))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Page:
+    """One page of laps. The total is counted when it is asked for."""
     data: DataFrame
-    total: int
+    found: DataFrame
     page: int
     page_size: int
 
+    @cached_property
+    def total(self) -> int:
+        return self.found.count()
+
     @property
     def total_pages(self) -> int:
         return -(-self.total // self.page_size)
@@ -68,7 +74,7 @@ def laps_page(facts: DataFrame, page: int = 1, page_size: int = 100, **filters)
     size = _limit(page_size, K.MAX_PAGE_SIZE)
     found = filter_laps(facts, **filters)
     data = found.orderBy(*_content(found, PAGE_ORDER)).offset((page - 1) * size).limit(size)
-    return Page(data, found.count(), page, size)
+    return Page(data, found, page, size)
 
 
 def page_info(facts: DataFrame, page: int = 1, page_size: int = 100, **filters) -> DataFrame:
@@ -156,9 +162,9 @@ class ServingTables:
 
 def serving_tables(facts: DataFrame) -> ServingTables:
     """One pass over the laps to (circuit, session, driver) partial sums; the two lookups come from that."""
-    base = facts.groupBy("circuit_key", "session_key", "driver_number").agg(
+    base = freeze(facts.groupBy("circuit_key", "session_key", "driver_number").agg(
         F.sum(F.col(K.TARGET).cast("double")).alias("total"), F.count(K.TARGET).alias("n"),
-        F.max("lap_number").alias("max_lap"))
+        F.max("lap_number").alias("max_lap")))
     mean = F.sum("total") / F.nullif(F.sum("n"), F.lit(0))
     per_session = base.groupBy("circuit_key", "session_key").agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("max_lap").alias("max_lap"))

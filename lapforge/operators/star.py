@@ -39,10 +39,11 @@ def load_table(df: DataFrame, name: str, required: Sequence[str] = (), order_by:
     by content). Empty text is null, missing columns are null."""
     schema, keys = schemas.STAR[name], schemas.STAR_KEYS[name]
     require(df, list(required) or keys)
-    extra = [c for c in order_by if isinstance(c, str) and c not in schema.fieldNames()]
-    shaped = df.select(*[_cast(df, f) for f in schema.fields], *extra)
-    text = F.struct(*[F.col(f.name).cast("string") for f in schema.fields])
-    return first_per_key(shaped, keys, [*order_by, text]).drop(*extra)
+    # Keys are cast before rows are compared; everything else only for the rows that stay.
+    keyed = df.select(*[_cast(df, schema[k]) if k in keys else F.col(k) for k in df.columns
+                        if k in schema.fieldNames() or k in order_by])
+    first = first_per_key(keyed, keys, [*order_by, *[c for c in keyed.columns if c in schema.fieldNames() and c not in keys]])
+    return first.select(*[_cast(first, f) for f in schema.fields])
 
 
 def dim_circuits(sessions: DataFrame, order_by=("year", "meeting_key", "session_key")) -> DataFrame:

@@ -116,7 +116,9 @@ def type_station_hours(raw: DataFrame) -> DataFrame:
 
 def one_row_per_hour(hours: DataFrame) -> DataFrame:
     """A second row for the same station and hour would multiply laps; the smallest one stays."""
-    return first_per_key(hours, ["station_id", "weather_hour_utc"], [F.struct(*hours.columns)])
+    key = ["station_id", "weather_hour_utc"]
+    values = [c for c in hours.columns if c not in key]
+    return first_per_key(hours, key, values or key)
 
 
 def station_catalogue(spark: SparkSession, stations, names) -> tuple[DataFrame, DataFrame]:
