@@ -307,10 +307,12 @@ def _(s):
 def _(s): return weather.weather_report(weather_joined(s))
 
 
-@query("failed_weather_sessions", ctes(LAPS, URLS, URL_STATIONS, MAPPING) + """
+COVERED = "(SELECT station_id FROM wx_v WHERE station_id NOT IN ('ST1', 'ST2'))"
+
+@query("failed_weather_sessions", ctes(LAPS, URLS, URL_STATIONS, MAPPING, WEATHER) + f"""
 SELECT DISTINCT session_key, 'circuit has no station' AS error FROM laps_v WHERE circuit_key NOT IN (SELECT circuit_key FROM mapping)
 UNION ALL SELECT DISTINCT session_key, 'no weather for 2024' FROM laps_v l JOIN mapping m ON l.circuit_key = m.circuit_key
-WHERE l.date_start IS NOT NULL AND m.station_id IN ('ST1', 'ST2')""")
+WHERE l.date_start IS NOT NULL AND m.station_id NOT IN {COVERED}""")
 def _(s):
     laps = s.laps.withColumn("lap_hour_utc", shape.floor_hour("date_start"))
     hours = s.weather.where("station_id NOT IN ('ST1', 'ST2')")
@@ -344,7 +346,7 @@ def flagship(s):
         F.avg("lap_duration").alias("avg_lap"), F.avg("temp").alias("avg_temp"))
 
 
-@query("weather_join_strict", ctes(*JOIN_PARTS) + """SELECT session_key, count(*) AS n FROM joined WHERE station_id NOT IN ('ST1', 'ST2')
+@query("weather_join_strict", ctes(*JOIN_PARTS) + f"""SELECT session_key, count(*) AS n FROM joined WHERE station_id IN {COVERED}
   GROUP BY session_key""")
 def _(s):
     laps = context.add_context(s.laps, scope.build_scope(s.sessions_twice))
