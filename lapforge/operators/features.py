@@ -7,18 +7,19 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lapforge import constants as K
 from lapforge.functions.text import encoded_name
 from lapforge.functions.timing import avg_speed, lap_progress
-from lapforge.operators.ordered import HOT_ROWS, fill_forward, group_medians, hot_groups, prefix_sums
+from lapforge.operators.ordered import fill_forward, group_medians
 from lapforge.operators.serve import typical_max_laps
 from lapforge.operators.shape import feature_columns
-from lapforge.session import freeze, lookup
+from lapforge.session import lookup, store
 
 GROUP = ["circuit_key", "driver_number"]
 FILL_ORDER = ["lap_number", "driver_number"]
+BUCKET_ROWS = 50_000
 
 
 def _fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -34,7 +35,12 @@ def global_medians(df: DataFrame, columns: Sequence[str], hot_rows: int | None =
     return {c: row[f"{c}_median"] for c in columns}
 
 
-def impute_groups(df: DataFrame, columns: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+def _has_keyless(df: DataFrame) -> bool:
+    return df.where(F.col(GROUP[0]).isNull() | F.col(GROUP[1]).isNull()).limit(1).count() > 0
+
+
+def impute_groups(df: DataFrame, columns: Sequence[str], hot_rows: int | None = None,
+                  keyless: bool | None = None) -> DataFrame:
     """Null -> median of (circuit, driver), else median of the column as it stands after that fill.
 
     The second median is computed only for columns that still have nulls then, which the group
@@ -44,11 +50,11 @@ def impute_groups(df: DataFrame, columns: Sequence[str], hot_rows: int | None =
     groups = lookup(group_medians(df, GROUP, columns, hot_rows))
     filled = df.join(groups, GROUP, "left").select(*[
         F.coalesce(F.col(c), F.col(f"{c}_median")).alias(c) if c in columns else F.col(c) for c in df.columns])
-    keyless = F.count_if(F.col(GROUP[0]).isNull() | F.col(GROUP[1]).isNull())
     holes = groups.agg(*[
         F.coalesce(F.sum(F.when(F.col(f"{c}_median").isNull(), F.col(f"{c}_nulls"))), F.lit(0)).alias(c)
         for c in columns]).first()
-    open_columns = columns if df.agg(keyless).first()[0] else [c for c in columns if holes[c]]
+    keyless = _has_keyless(df) if keyless is None else keyless
+    open_columns = columns if keyless else [c for c in columns if holes[c]]
     return _fill(filled, global_medians(filled, open_columns, hot_rows))
 
 
@@ -57,14 +63,15 @@ def impute(df: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
     together), then global medians of every numeric column that still has nulls."""
     sport = [c for c in K.SPORT_COLS if c in df.columns]
     weather = [c for c in K.WEATHER_COLS if c in df.columns]
-    filled = impute_groups(df, sport) if sport else df
-    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in weather]).first()
+    keyless = F.count_if(F.col(GROUP[0]).isNull() | F.col(GROUP[1]).isNull()) if sport else F.lit(0)
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), keyless.alias("_keyless"), *[F.count(c).alias(c) for c in weather]).first()
+    filled = impute_groups(df, sport, keyless=counted["_keyless"] > 0) if sport else df
     # A column without nulls has nothing to fill, one without values nothing to carry.
     gappy = [c for c in weather if 0 < counted[c] < counted["_rows"]]
     if gappy:
         order = FILL_ORDER + [c for c in tiebreak if c not in FILL_ORDER]
         filled = fill_forward(filled, ["session_key"], order, gappy)
-    filled = freeze(filled)
+    filled = store(filled)
     numeric = [f.name for f in filled.schema.fields if isinstance(f.dataType, T.NumericType)]
     known = filled.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in numeric]).first()
     todo = [c for c in numeric if 0 < known[c] < known["_rows"]]
@@ -72,8 +79,7 @@ def impute(df: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
 
 
 def stratified_flag(df: DataFrame, stratum: str = "circuit_key", test_size: float = K.TEST_SIZE,
-                    seed: int = K.SEED, key: Sequence[str] = K.LAP_KEY, flag: str = "is_train",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    seed: int = K.SEED, key: Sequence[str] = K.LAP_KEY, flag: str = "is_train") -> DataFrame:
     """Mark ceil((1 - test_size) * n) rows per stratum as train, by a seeded hash of the key.
 
     The mark depends only on the rows, never on their layout. Rows with the same key get the same
@@ -81,15 +87,39 @@ def stratified_flag(df: DataFrame, stratum: str = "circuit_key", test_size: floa
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
     marked = df.withColumn("_digest", digest)
-    counts = marked.groupBy(stratum, "_digest").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, [stratum], ["_digest"], ["_n"], hot_groups(df, [stratum], hot_rows))
-    quota = F.ceil(F.col("_n_total") * F.lit(1 - test_size) - F.lit(1e-9))
-    limit = lookup(ranked.where(F.col("_n_upto") - F.col("_n") < quota).groupBy(stratum).agg(F.max("_digest").alias("_limit")))
+    limit = lookup(_digest_limits(marked, stratum, test_size))
     cond = marked[stratum].eqNullSafe(limit[stratum])
     return marked.join(limit, cond, "left").select(
         *[marked[c] for c in df.columns], F.coalesce(F.col("_digest") <= F.col("_limit"), F.lit(False)).alias(flag))
 
 
+def leading_digits(rows: int) -> int:
+    return min(8, max(1, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16))))
+
+
+def _digest_limits(marked: DataFrame, stratum: str, test_size: float) -> DataFrame:
+    """Largest train digest per stratum, without ordering the rows.
+
+    Digests are uniform, so counts per leading digits tell in which digit bucket the quota is
+    reached; only the rows of that bucket are looked at one by one. The number of digits follows
+    the number of rows and keeps a bucket near BUCKET_ROWS.
+    """
+    digits = F.substring("_digest", 1, leading_digits(marked.count()))
+    total = F.sum("_n").over(Window.partitionBy(stratum))
+    upto = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0))
+    buckets = marked.groupBy(F.col(stratum).alias(stratum), digits.alias("_digits")).agg(F.count(F.lit(1)).alias("_n"))
+    quota = F.ceil(F.col("_total") * F.lit(1 - test_size) - F.lit(1e-9))
+    turning = lookup(buckets.select(stratum, "_digits", "_n", total.alias("_total"), upto.alias("_upto")).where(
+        (F.col("_upto") - F.col("_n") < quota) & (quota <= F.col("_upto"))).select(
+        F.col(stratum).alias("_s"), F.col("_digits").alias("_d"), (quota - (F.col("_upto") - F.col("_n"))).alias("_left")))
+    inside = marked.select(stratum, "_digest", digits.alias("_digits")).join(
+        turning, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_digits") == F.col("_d")))
+    counts = inside.groupBy(stratum, "_digest").agg(F.count(F.lit(1)).alias("_n"), F.max("_left").alias("_left"))
+    before = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_digest").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return counts.withColumn("_before", before).where(F.col("_before") < F.col("_left")).groupBy(stratum).agg(
+        F.max("_digest").alias("_limit"))
+
+
 def temporal_flag(df: DataFrame, train_years: Sequence[int] = tuple(K.TRAIN_YEARS), test_year: int = K.TEST_YEAR,
                   flag: str = "is_train") -> DataFrame:
     """Train years true, the test year false; other years are in neither part."""

@@ -54,7 +54,8 @@ def circuits_in_use(sessions: DataFrame, years: Sequence[int] | None = None) ->
     picks = [most_frequent(c) for c in names] + [variants("location", "location_variants")]
     if extra:
         picks.append(variants("year", "years_present"))
-    return counted.groupBy("circuit_key").agg(*picks)
+    return counted.groupBy("circuit_key").agg(*picks).orderBy(
+        F.col("country_name").asc_nulls_last(), F.col("circuit_short_name").asc_nulls_last(), "circuit_key")
 
 
 def latest_drivers(drivers: DataFrame) -> DataFrame:

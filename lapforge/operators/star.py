@@ -1,6 +1,8 @@
 """Star schema: dimension and fact shaping, declared constraints as checks."""
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -98,30 +100,28 @@ def orphans(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
 
 
 def constraint_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per declared constraint with the number of violating rows."""
-    rows = []
-
-    def add(name, df):
-        rows.append(df.select(F.lit(name).alias("constraint_name"), F.col("violations").cast("long").alias("violations")))
-
-    def broken(df, cond):
-        return df.agg(F.count_if(~F.coalesce(cond, F.lit(True))).alias("violations"))
-
+    """One row per declared constraint with the number of violating rows.
+
+    The row-level constraints of a table share one pass; keys and references are counted per value.
+    """
+    ranges = {"fact_laps": ("0 < lap_duration < 3600", (F.col(TARGET) > 0) & (F.col(TARGET) < 3600)),
+              "dim_sessions": ("year 2020-2030", F.col("year").between(2020, 2030)),
+              "dim_drivers": ("driver_number > 0", F.col("driver_number") > 0)}
+    parts = []
     for name, df in tables.items():
+        nulls = reduce(or_, [F.col(c).isNull() for c in schemas.STAR_NOT_NULL[name]])
+        long = reduce(or_, [F.coalesce(F.length(c) > n, F.lit(False)) for c, n in schemas.STAR_LENGTHS[name].items()
+                            if c in df.columns], F.lit(False))
+        counts = {f"{name}: not null": F.count_if(nulls), f"{name}: text length": F.count_if(long)}
+        if name in ranges:
+            label, holds = ranges[name]
+            counts[f"{name}: {label}"] = F.count_if(~F.coalesce(holds, F.lit(True)))
+        row = df.agg(*[c.alias(n) for n, c in counts.items()])
+        parts.append(row.unpivot([], [F.col(f"`{n}`") for n in counts], "constraint_name", "violations"))
         per_key = df.groupBy(*schemas.STAR_KEYS[name]).agg(F.count(F.lit(1)).alias("n"))
-        add(f"{name}: primary key", per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")))
-        nulls = F.lit(False)
-        for c in schemas.STAR_NOT_NULL[name]:
-            nulls = nulls | F.col(c).isNull()
-        add(f"{name}: not null", df.agg(F.count_if(nulls).alias("violations")))
-        long = F.lit(False)
-        for c, n in schemas.STAR_LENGTHS[name].items():
-            if c in df.columns:
-                long = long | F.coalesce(F.length(c) > n, F.lit(False))
-        add(f"{name}: text length", df.agg(F.count_if(long).alias("violations")))
-    add("fact_laps: 0 < lap_duration < 3600", broken(tables["fact_laps"], (F.col(TARGET) > 0) & (F.col(TARGET) < 3600)))
-    add("dim_sessions: year 2020-2030", broken(tables["dim_sessions"], F.col("year").between(2020, 2030)))
-    add("dim_drivers: driver_number > 0", broken(tables["dim_drivers"], F.col("driver_number") > 0))
+        parts.append(per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
+            F.lit(f"{name}: primary key").alias("constraint_name"), "violations"))
     for child, column, parent in schemas.STAR_REFERENCES:
-        add(f"{child}.{column} -> {parent}", orphans(tables[child], column, tables[parent]))
-    return union_named(rows)
+        parts.append(orphans(tables[child], column, tables[parent]).select(
+            F.lit(f"{child}.{column} -> {parent}").alias("constraint_name"), "violations"))
+    return union_named(parts)

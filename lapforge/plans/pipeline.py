@@ -12,7 +12,7 @@ from lapforge.operators.scope import build_scope, latest_drivers
 from lapforge.operators.star import constraint_violations, load_star, table_counts
 from lapforge.operators.weather import (attach_weather, circuit_stations, failed_sessions, strict_sessions,
                                         weather_report, with_weather_only)
-from lapforge.session import freeze
+from lapforge.session import store
 from lapforge.sources.sinks import report_table
 
 
@@ -58,7 +58,7 @@ def run(inputs: Inputs, years=None, session_type: str = "Race", rules: CleanRule
         joined = strict_sessions(joined, failed)
     located = with_weather_only(joined)
     if frozen:
-        located = freeze(dataset_columns(located))
+        located = store(dataset_columns(located))
     reports = {"clean": report_table(clean_report(labelled)), "context": report_table(context_report(enriched)),
                "weather": report_table(weather_report(joined), failed)}
     return Result(scope, build_dataset(located), quality_summary(located), reports)

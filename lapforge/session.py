@@ -49,12 +49,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as a reliable checkpoint and read it back: later steps neither
-    recompute it nor lose it with an executor."""
+    """Reliable checkpoint in the shared folder: later steps neither recompute df nor lose it with
+    an executor. For small tables, and for tables that are read whole once or twice."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back. For wide tables that many
+    later steps read a few columns of."""
+    path = fresh_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Approximate in-memory size: row count times fixed widths, plus the real length of text."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

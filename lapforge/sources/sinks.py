@@ -24,16 +24,17 @@ def pending(df: DataFrame, done: DataFrame, key: str = "session_key") -> DataFra
 
 def write_sessions(df: DataFrame, path: str, overwrite: bool = False, key: str = "session_key") -> None:
     """One partition per session. Without overwrite, sessions already written are left alone;
-    with it, only the partitions of the sessions in df are replaced."""
-    spark = df.sparkSession
+    with it, only the partitions of the sessions in df are replaced.
+
+    The rebalance hint lets AQE gather small sessions and split a large one over several tasks.
+    """
     if overwrite:
-        df.repartition(key, F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(8))).write \
-            .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        df.hint("rebalance", F.col(key)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
         return
-    done = written_keys(spark, path, key)
+    done = written_keys(df.sparkSession, path, key)
     todo = df if done is None else pending(df, done, key)
-    todo.repartition(key, F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(8))).write \
-        .mode("append").partitionBy(key).parquet(path)
+    todo.hint("rebalance", F.col(key)).write.mode("append").partitionBy(key).parquet(path)
 
 
 def written_keys(spark: SparkSession, path: str, key: str = "session_key") -> DataFrame | None:

@@ -72,11 +72,12 @@ def test_prefix_sums_keep_null_keys(spark, hot):
     assert got == [("a", 1, 5, 5), (None, 1, 2, 5), (None, 2, 5, 5)]
 
 
-def test_split_gives_the_same_flags(shapes):
-    few = features.stratified_flag(shapes.facts, hot_rows=50)
-    many = features.stratified_flag(shapes.facts)
+@pytest.mark.parametrize("bucket", [1, 40, 10**9])
+def test_split_does_not_depend_on_the_digit_buckets(shapes, monkeypatch, bucket):
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "is_train"]
-    assert rows(few, cols) == rows(many, cols)
+    want = rows(features.stratified_flag(shapes.facts), cols)
+    monkeypatch.setattr(features, "BUCKET_ROWS", bucket)
+    assert rows(features.stratified_flag(shapes.facts), cols) == want
 
 
 def test_drift_of_equal_parts_is_zero(spark):
