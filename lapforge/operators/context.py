@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapforge.constants import SCOPE_COLS
 from lapforge.operators.shape import floor_hour, require, typed
+from lapforge.session import lookup
 
 _RENAMED = {"date_start": "date_start_session", "date_end": "date_end_session"}
 NO_CONTEXT = "missing_session_meta"
@@ -22,7 +23,7 @@ def add_context(laps: DataFrame, scope: DataFrame, parity: bool = False) -> Data
     if "date_start" not in laps.columns:
         laps = laps.withColumn("date_start", F.lit(None).cast("timestamp"))
     brought = [c for c in SCOPE_COLS if c in scope.columns and c != "session_key"]
-    side = scope.select("session_key", F.lit(True).alias("_known"), *[F.col(c).alias(f"_s_{c}") for c in brought])
+    side = lookup(scope.select("session_key", F.lit(True).alias("_known"), *[F.col(c).alias(f"_s_{c}") for c in brought]))
     joined = laps.join(side, "session_key", "left")
     known = F.col("_known").isNotNull()
 

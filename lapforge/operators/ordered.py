@@ -28,8 +28,9 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | st
     if not keys:
         return ALL if df.limit(limit + 1).count() > limit else None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = lookup(sizes.where(F.col("_rows") > limit).select(*keys))
-    return hot if hot.limit(1).count() else None
+    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= limit:
+        return None
+    return lookup(sizes.where(F.col("_rows") > limit).select(*keys))
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapforge.constants import WEATHER_COLS
 from lapforge.functions.text import page_id
-from lapforge.operators.shape import any_present, first_per_key, require, with_missing
+from lapforge.operators.shape import any_present, first_per_key, require
+from lapforge.session import lookup
 from lapforge.sources.landing import one_row_per_hour
 
 URL = "wikipedia_circuit_url"
@@ -29,16 +30,18 @@ def unmapped_circuits(laps: DataFrame, mapping: DataFrame) -> DataFrame:
 def attach_weather(laps: DataFrame, mapping: DataFrame, hours: DataFrame) -> DataFrame:
     """Laps of mapped circuits, left-joined to the station's hour.
 
-    hours is first cut to the stations in use, which prunes station partitions at the scan.
+    hours is first cut to the stations in use, which prunes station partitions at the scan and
+    usually leaves a table small enough to spare the laps a shuffle; lookup measures it.
     """
     require(laps, ["circuit_key", "lap_hour_utc"])
+    mapping = lookup(mapping.select("circuit_key", URL, "station_id"))
     wanted = mapping.select("station_id").distinct()
     present = [c for c in WEATHER_COLS if c in hours.columns]
-    used = one_row_per_hour(hours.select("station_id", "weather_hour_utc", *present).join(wanted, "station_id", "left_semi"))
-    located = laps.join(mapping.select("circuit_key", URL, "station_id"), "circuit_key")
-    joined = located.join(
-        used.withColumnRenamed("weather_hour_utc", "lap_hour_utc").withColumn("weather_hour_utc", F.col("lap_hour_utc")),
-        ["station_id", "lap_hour_utc"], "left")
+    used = lookup(one_row_per_hour(
+        hours.select("station_id", "weather_hour_utc", *present).join(wanted, "station_id", "left_semi")).select(
+        "station_id", F.col("weather_hour_utc").alias("lap_hour_utc"), "weather_hour_utc", *present))
+    located = laps.join(mapping, "circuit_key")
+    joined = located.join(used, ["station_id", "lap_hour_utc"], "left")
     for c in set(WEATHER_COLS) - set(present):
         joined = joined.withColumn(c, F.lit(None).cast("double"))
     return joined

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # A lookup table is broadcast only when it is measured to be below this many bytes.
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def build_session(app: str = "lapforge", master: str | None = None, **conf) -> SparkSession:
