@@ -439,7 +439,7 @@ def _check_sql(rows, source):
 def _(s): return quality.dataset_checks(s.facts, S.LAP_ORDER)
 
 
-@query("pipeline_checks", ctes(*PIPE, ("d", "SELECT * FROM joined WHERE NOT no_weather"), DRIVERS_V, DIM_DRIVERS) + """
+@query("load_checks", ctes(*PIPE, ("d", "SELECT * FROM joined WHERE NOT no_weather"), DRIVERS_V, DIM_DRIVERS) + """
 SELECT 'dataset rows' AS check_name, count(*)::DOUBLE AS observed, '> 0.0' AS limit_text, count(*) > 0 AS passed FROM d
 UNION ALL SELECT 'duplicate lap keys', (count(*) - count(DISTINCT (ctx_meeting, session_key, driver_number, lap_number)))::DOUBLE, '= 0.0',
   count(*) = count(DISTINCT (ctx_meeting, session_key, driver_number, lap_number)) FROM d
