@@ -4,7 +4,6 @@ All checks of one table that are plain aggregates share a single pass over it.
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 

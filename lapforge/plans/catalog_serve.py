@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.functions import geo, text, timing
-from lapforge.operators import drift, features, match, models, ordered, runs, scope, serve, star, stations
+from lapforge.operators import drift, features, match, models, ordered, runs, serve, star, stations
 from lapforge.plans import shapes as S
 from lapforge.plans.catalog import (DIM_CIRCUITS, DIM_DRIVERS, DRIVERS_V, EVENTS, FACTS, FACTS_V, LAPS, ORDER, SESSIONS, SESSIONS_TWICE,
                                     cols, ctes, query, r, rounded, t)
@@ -428,7 +428,7 @@ def _(s):
     return drift.split_by_position(s.facts, ["year", "session_key", "driver_number", "lap_number", *S.LAP_ORDER]).select(*ROW, "side")
 
 
-# The price per unit plays a prediction.
+# A plain function of the speed plays a prediction.
 PRED = "(st_speed - 250) * 2"
 METRICS = f"""count(*) AS n, {r("avg(abs(e))", "mae")}, {r("sqrt(avg(e * e))", "rmse")}, {r("1 - sum(e * e) / (var_pop(y) * count(*))", "r2")},
   {rounded("100 * avg(abs(e / nullif(y, 0)))", "mape", 4)}, count(CASE WHEN y = 0 THEN 1 END) AS zero_targets, {r("avg(-e)", "mean_error")}, {r("stddev_samp(e)", "error_std")}"""

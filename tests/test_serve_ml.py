@@ -1,6 +1,5 @@
 """Serving, features, models and run selection."""
 
-import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from lapforge.operators import clean, context, dataset, scope, shape, star, weather
 from lapforge.operators.clean import CleanRules
