@@ -38,13 +38,16 @@ def stored(df: DataFrame, name: str = "stored", partition_by: str | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, pattern: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path) or []:
+        fs.delete(status.getPath(), True)
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Remove this application's intermediate tables. Call it once results are written."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "llm-*")) or []:
-        fs.delete(status.getPath(), True)
+    delete_folder(spark, f"{shared_folder(spark)}/llm-*")
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:

@@ -161,7 +161,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     return df.select(id_col, text_col).mapInArrow(cut, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None = None, chunk_rows: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None = None, chunk_rows: int = 20_000) -> DataFrame:
     """pieces (with `length`, 1 .. capacity) with `sequence_id` and `offset`, packed by best-fit decreasing.
 
     Only the counts by length reach the driver: at most capacity rows. Pieces of one length are told apart by `order`

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapforge.llm import merkle, mixing, packing, sharding, topk, urls, warc
+from lapforge.llm import merkle, minhash, mixing, packing, sharding, suffixes, topk, toxicity, urls, warc
 from lapforge.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -122,3 +122,22 @@ def op8_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op9_weighted_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, folder, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffixes.kept_bytes(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_superminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    index = toxicity.fit(docs, table(spark, folder, "labels"))
+    out = toxicity.score(docs, index, ["doc_id"])
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")

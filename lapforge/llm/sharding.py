@@ -23,7 +23,7 @@ def shard_of(key: list[Column], weights: list[float]) -> Column:
 
 def shard_records(df: DataFrame, key: list[str], shards: int, weights: list[float] | None = None,
                   out: str = "shard", slot: str = "slot", order: list[Column] | None = None,
-                  chunk_rows: int = 200_000) -> DataFrame:
+                  chunk_rows: int = 20_000) -> DataFrame:
     """df with `out`, the shard (0 .. shards - 1), and `slot`, a gapless place from 0 in the shard.
 
     The shard is map-only. The slot needs one shuffle, in which a shard is split into chunks by key.
