@@ -99,7 +99,7 @@ SEED = 42
 TRAIN_YEARS, TEST_YEAR, TEST_SIZE = [2023, 2024], 2025, 0.2
 CV_FOLDS, GRID_FOLDS = 5, 3
 BASELINE = {
-    "random_forest": {"numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 2},
+    "random_forest": {"numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 2, "featureSubsetStrategy": "all"},
     "boosted_trees": {"maxIter": 300, "maxDepth": 7, "stepSize": 0.05, "subsamplingRate": 0.8,
                       "featureSubsetStrategy": "0.8"},
 }

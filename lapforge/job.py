@@ -9,7 +9,7 @@ import argparse
 import sys
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapforge import schemas
 from lapforge.operators import drift, features, models, runs
@@ -28,7 +28,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
         return True
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
 
 
@@ -40,7 +42,7 @@ def landed(spark: SparkSession, folder: str, fmt: str, years: list[int], limit:
     laps = limit_sessions(landing.type_laps(raw, sessions), limit)
     urls = spark.read.option("header", True).csv(f"{folder}/circuit_urls")
     stations = spark.read.option("header", True).csv(f"{folder}/circuit_stations")
-    return pipeline.Inputs(sessions, laps, landing.driver_records(spark, f"{folder}/drivers"), urls, stations,
+    return pipeline.Inputs(sessions, laps, landing.driver_records(spark, f"{folder}/drivers", sessions), urls, stations,
                            landing.station_hours(spark, f"{folder}/weather/*"))
 
 
@@ -79,10 +81,11 @@ def train(spark: SparkSession, a: argparse.Namespace) -> int:
     for family in a.families:
         for tuned in ([False, True] if a.tuned else [False]):
             trained = models.train_run(data, family, tuned=tuned)
-            name = trained.record.first()["run_name"]
-            models.save(trained.model, f"{a.out}/models/{name}")
-            sinks.write_step(trained.importance, f"{a.out}/importance/{name}")
-            records.append(trained.record)
+            run_id = trained.record.first()["run_id"]
+            # A folder per run: training again never replaces the model that a record names.
+            models.save(trained.model, f"{a.out}/models/{run_id}")
+            sinks.write_step(trained.importance, f"{a.out}/importance/{run_id}")
+            records.append(trained.record.withColumn("model_path", F.lit(f"{a.out}/models/{run_id}")))
     sinks.write_step(union_named(records), f"{a.out}/runs", mode="append")
     table = spark.read.parquet(f"{a.out}/runs")
     runs.comparison(table).show(100, False)

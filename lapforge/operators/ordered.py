@@ -26,7 +26,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | st
     There are at most rows / limit of them.
     """
     if not keys:
-        return ALL if df.limit(limit + 1).count() > limit else None
+        return ALL if df.count() > limit else None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     if (sizes.agg(F.max("_rows")).first()[0] or 0) <= limit:
         return None
@@ -126,6 +126,13 @@ def select_quantiles(counts: DataFrame, keys: Sequence[str], value: str, n: str,
     return ranked.groupBy(*keys).agg(F.max(total).alias("n"), *picks).select(*keys, "n", *outs)
 
 
+def _interpolated(values: Column, q: float) -> Column:
+    """Quantile of a sorted array, by the very expression that select_quantiles uses: groups of any size give the same bits."""
+    pos = F.lit(float(q)) * (F.size(values).cast("long") - 1)
+    lo, hi, t = F.get(values, F.floor(pos).cast("int")), F.get(values, F.ceil(pos).cast("int")), pos - F.floor(pos)
+    return F.when(F.size(values) > 0, lo + (hi - lo) * t)
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
               hot_rows: int | None = None) -> DataFrame:
     """Exact quantiles of value per group, with the number of values `n`.
@@ -140,9 +147,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         return select_quantiles(value_counts(known, keys, value), keys, value, "n", probs)
     ordinary, big = (known, None) if hot is None else split_hot(known, keys, hot)
     names = list(probs)
-    array = F.percentile(value, [float(probs[q]) for q in names]).alias("_q")
-    small = ordinary.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), array).select(
-        *keys, "n", *[F.col("_q")[i].alias(q) for i, q in enumerate(names)])
+    small = ordinary.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(value)).alias("_q")).select(
+        *keys, "n", *[_interpolated(F.col("_q"), probs[q]).alias(q) for q in names])
     if not keys:
         small = small.where("n > 0")
     if big is None:
@@ -167,8 +173,9 @@ def group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ho
     ordinary, big = (known, None) if hot is None else (None, known) if hot is ALL else split_hot(known, keys, hot)
     parts = []
     if ordinary is not None:
-        parts.append(ordinary.groupBy(*keys).agg(
-            *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"{c}_median") for c in columns], *nulls))
+        lists = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_{c}") for c in columns]
+        parts.append(ordinary.groupBy(*keys).agg(*lists, *nulls).select(
+            *keys, *[_interpolated(F.col(f"_{c}"), 0.5).alias(f"{c}_median") for c in columns], *[f"{c}_nulls" for c in columns]))
     if big is not None:
         counts = value_counts(melt(big, keys, columns), ["feature", *keys], "value")
         long = select_quantiles(counts, ["feature", *keys], "value", "n", {"median": 0.5})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapforge.constants import SCOPE_COLS
 from lapforge.functions.text import joined_variants
-from lapforge.operators.shape import conform, first_per_key, floor_hour, require, to_number, typed
+from lapforge.operators.shape import conform, first_per_key, floor_hour, require, to_whole, typed
 
 
 def build_scope(sessions: DataFrame, years: Sequence[int] | None = None, session_type: str = "Race") -> DataFrame:
@@ -35,7 +35,7 @@ def circuits_in_use(sessions: DataFrame, years: Sequence[int] | None = None) ->
     if years:
         require(sessions, ["year"])
         sessions = sessions.where(F.col("year").isin(list(years)))
-    df = sessions.withColumn("circuit_key", to_number("circuit_key", "bigint")).dropna(
+    df = sessions.withColumn("circuit_key", to_whole(F.col("circuit_key"), sessions.schema["circuit_key"].dataType)).dropna(
         subset=["circuit_key", "circuit_short_name"])
     # Names are counted per (circuit, name) first, so a circuit with very many sessions is
     # reduced to its few distinct names before it is gathered.

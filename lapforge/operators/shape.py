@@ -22,15 +22,26 @@ def conform(df: DataFrame, wanted: Sequence[str], required: Sequence[str] = ())
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def with_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns; the ones df lacks become typed nulls."""
-    return df.select(*[
-        F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in schema.fields])
+# A decimal number, with or without an exponent; no type suffixes, no words such as NaN or Infinity.
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def to_number(c: str | Column, kind: str = "double") -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string").try_cast(kind)
+def to_number(c: str | Column) -> Column:
+    """Text to double; null for whatever is not a finite number."""
+    text = F.trim((F.col(c) if isinstance(c, str) else c).cast("string"))
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
+
+
+def to_whole(c: Column, kind: T.DataType) -> Column:
+    """Value to long; null for what is not a whole number or does not fit."""
+    if isinstance(kind, T.StringType):
+        text = F.trim(c)
+        number = to_number(text)
+        return F.coalesce(F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long")), F.when(number == F.floor(number), number.try_cast("long")))
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return F.when(c == F.floor(c), c.try_cast("long"))
+    return c.try_cast("long")
 
 
 def to_utc(c: str | Column) -> Column:
@@ -43,11 +54,9 @@ def typed(df: DataFrame, ints: Sequence[str] = (), doubles: Sequence[str] = (),
     def cast(c: str) -> Column:
         kind = df.schema[c].dataType
         if c in ints:
-            if isinstance(kind, T.StringType):
-                return to_number(c).cast("long").alias(c)
-            return F.col(c).try_cast("long").alias(c)
+            return to_whole(F.col(c), kind).alias(c)
         if c in doubles:
-            return F.col(c).try_cast("double").alias(c)
+            return (to_number(c) if isinstance(kind, T.StringType) else F.col(c).try_cast("double")).alias(c)
         if c in times:
             return F.col(c) if isinstance(kind, T.TimestampType) else to_utc(c).alias(c)
         if c in bools:
@@ -56,6 +65,15 @@ def typed(df: DataFrame, ints: Sequence[str] = (), doubles: Sequence[str] = (),
     return df.select(*[cast(c) for c in df.columns])
 
 
+def nulled(raw: DataFrame, **kinds: Sequence[str]) -> DataFrame:
+    """(column_name, n): how many values typed(raw, **kinds) turns into null, for each coerced column. One pass."""
+    columns = [c for c in raw.columns if c in {x for names in kinds.values() for x in names}]
+    before = [F.col(c).alias(f"_raw_{c}") for c in columns]
+    both = typed(raw.select(*columns, *before), **kinds)
+    counts = both.agg(*[F.count_if(F.col(f"_raw_{c}").isNotNull() & F.col(c).isNull()).alias(c) for c in columns])
+    return counts.unpivot([], columns, "column_name", "n")
+
+
 def floor_hour(c: str | Column) -> Column:
     return F.date_trunc("hour", c)
 

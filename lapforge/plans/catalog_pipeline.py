@@ -13,17 +13,21 @@ from lapforge.sources import landing, pages, sinks
 # ---- sources ------------------------------------------------------------------------------------
 
 RAW_LAPS = """SELECT CAST(meeting_key AS VARCHAR(20)) AS meeting_key, CAST(session_key AS VARCHAR(20)) AS session_key,
-  CASE WHEN l_orderkey % 29 = 0 THEN 'n/a' ELSE CAST(driver_number AS VARCHAR(20)) END AS driver_number,
+  CASE WHEN l_orderkey % 29 = 0 THEN 'n/a' WHEN l_orderkey % 43 = 0 THEN 'NaN' WHEN l_orderkey % 47 = 0 THEN 'Infinity' WHEN l_orderkey % 53 = 0 THEN '1e300'
+    WHEN l_orderkey % 59 = 0 THEN '7.9' WHEN l_orderkey % 61 = 0 THEN '12d' WHEN l_orderkey % 67 = 0 THEN ' 12.0 '
+    ELSE CAST(driver_number AS VARCHAR(20)) END AS driver_number,
   CAST(lap_number AS VARCHAR(20)) AS lap_number,
-  CASE WHEN l_orderkey % 31 = 0 THEN 'DNF' ELSE CAST(lap_duration AS VARCHAR(40)) END AS lap_duration,
+  CASE WHEN l_orderkey % 31 = 0 THEN 'DNF' WHEN l_orderkey % 71 = 0 THEN 'NaN' WHEN l_orderkey % 73 = 0 THEN '80.5f' ELSE CAST(lap_duration AS VARCHAR(40)) END AS lap_duration,
   CASE WHEN l_orderkey % 37 = 0 THEN '2024-02-30 10:00:00' ELSE '2024-02-28 10:00:00' END AS date_start,
   CASE WHEN is_pit_out_lap THEN 'true' WHEN NOT is_pit_out_lap THEN 'false' END AS is_pit_out_lap,
   CAST(st_speed AS VARCHAR(40)) AS st_speed FROM ({laps}) x""".replace("{laps}", S.LAPS)
 
 @query("typed_lap_records", ctes(("raw", RAW_LAPS), ("known", f"SELECT * FROM ({S.SESSIONS}) k WHERE session_type = 'Race'")) + f"""
 SELECT CAST(raw.session_key AS BIGINT) AS session_key, any_value(known.year) AS year, count(*) AS n,
-  count(TRY_CAST(driver_number AS BIGINT)) AS n_driver, count(TRY_CAST(lap_duration AS DOUBLE)) AS n_lap,
-  count(TRY_CAST(raw.date_start AS TIMESTAMP)) AS n_start, {rounded("sum(TRY_CAST(lap_duration AS DOUBLE))", "total", 4)},
+  count(CASE WHEN trim(driver_number) IN ('n/a', 'NaN', 'Infinity', '1e300', '7.9', '12d') THEN NULL ELSE driver_number END) AS n_driver,
+  sum(CASE WHEN trim(driver_number) IN ('n/a', 'NaN', 'Infinity', '1e300', '7.9', '12d') THEN 0 WHEN trim(driver_number) = '12.0' THEN 12
+    ELSE CAST(driver_number AS BIGINT) END)::BIGINT AS sum_driver, count(CASE WHEN lap_duration <> 'NaN' THEN TRY_CAST(lap_duration AS DOUBLE) END) AS n_lap,
+  count(TRY_CAST(raw.date_start AS TIMESTAMP)) AS n_start, {rounded("sum(CASE WHEN lap_duration <> 'NaN' THEN TRY_CAST(lap_duration AS DOUBLE) END)", "total", 4)},
   count(CASE WHEN is_pit_out_lap = 'true' THEN 1 END) AS n_pit
 FROM raw LEFT JOIN known ON CAST(raw.session_key AS BIGINT) = known.session_key GROUP BY 1""")
 def _(s: S.Shapes):
@@ -31,23 +35,34 @@ def _(s: S.Shapes):
     laps = landing.type_laps(raw, s.sessions.where("session_type = 'Race'"))
     return laps.groupBy("session_key").agg(
         F.max("year").alias("year"), F.count(F.lit(1)).alias("n"), F.count("driver_number").alias("n_driver"),
-        F.count("lap_duration").alias("n_lap"), F.count("date_start").alias("n_start"),
+        F.sum("driver_number").alias("sum_driver"), F.count("lap_duration").alias("n_lap"), F.count("date_start").alias("n_start"),
         F.round(F.sum("lap_duration"), 4).alias("total"), F.count_if("is_pit_out_lap").alias("n_pit"))
 
 
+@query("coercion_counts", ctes(("raw", RAW_LAPS)) + """
+SELECT 'driver_number' AS column_name, count(CASE WHEN trim(driver_number) IN ('n/a', 'NaN', 'Infinity', '1e300', '7.9', '12d') THEN 1 END) AS n FROM raw
+UNION ALL SELECT 'lap_duration', count(CASE WHEN lap_duration IN ('DNF', 'NaN', '80.5f') THEN 1 END) FROM raw
+UNION ALL SELECT 'date_start', count(CASE WHEN date_start LIKE '2024-02-30%' THEN 1 END) FROM raw
+UNION ALL SELECT unnest(['meeting_key', 'session_key', 'lap_number', 'is_pit_out_lap', 'st_speed']), 0""")
+def _(s): return shape.nulled(s.view(RAW_LAPS), **landing.LAP_TYPES)
+
+
 @query("year_availability", ctes(SESSIONS) + """
 SELECT y AS year, count(session_key) AS rows, CASE WHEN count(session_key) > 0 THEN 'OK' ELSE 'EMPTY' END AS status
 FROM (SELECT unnest([2022, 2023, 2024, 2025])::BIGINT AS y) a LEFT JOIN sessions_v ON year = y GROUP BY y""")
 def _(s): return landing.year_availability(s.sessions, [2022, 2023, 2024, 2025])
 
 
+# Every session, and one more per supplier for which nothing was landed.
+SCOPE_WITH_GAPS = f"SELECT session_key FROM ({S.SESSIONS}) a UNION ALL SELECT session_key + 1000000 FROM ({S.SESSIONS}) b"
+
 @query("sessions_for_years", ctes(SESSIONS) + "SELECT session_key, year FROM sessions_v WHERE year IN (2023, 2025)")
 def _(s): return landing.sessions_for_years(s.sessions, [2023, 2025]).select("session_key", "year")
 
 
-@query("sessions_without_laps", ctes(LAPS, SESSIONS) + """
-SELECT session_key FROM sessions_v WHERE session_key NOT IN (SELECT session_key FROM laps_v WHERE year = 2024)""")
-def _(s): return landing.sessions_without_laps(s.laps.where("year = 2024"), s.sessions)
+@query("sessions_without_laps", ctes(LAPS, ("scope_v", SCOPE_WITH_GAPS)) + """
+SELECT session_key FROM scope_v WHERE session_key NOT IN (SELECT session_key FROM laps_v)""")
+def _(s): return landing.sessions_without_laps(s.laps, s.view(SCOPE_WITH_GAPS))
 
 
 RAW_HOURS = """SELECT concat('ST', user_id % 25) AS station_id, CAST(2023 + user_id % 2 AS VARCHAR(9)) AS year,
@@ -367,11 +382,11 @@ def _(s): return dataset.duplicate_rows(s.laps, K.LAP_KEY)
 def _(s): return profile.repeated_rows(s.laps, ["session_key", "driver_number", "lap_number"]).select("l_orderkey", "l_linenumber", "l_partkey", "session_key")
 
 
-NULL_COLS = ["lap_duration", "is_pit_out_lap", "st_speed", "i1_speed", "i2_speed", "date_start", "session_key"]
+NULL_COLS = ["meeting_key", "session_key", "driver_number", "lap_number", "year", "circuit_key", "is_pit_out_lap", "date_start", "ship_day", *K.SPORT_COLS, K.TARGET]
 
 @query("null_ratios", ctes(LAPS) + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {r(f'avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END)', 'null_ratio')} FROM laps_v" for c in NULL_COLS))
-def _(s): return profile.null_ratios(s.laps, NULL_COLS)
+def _(s): return profile.null_ratios(s.laps.select(*NULL_COLS), NULL_COLS)
 
 
 @query("cardinalities", ctes(LAPS) + """SELECT count(*) AS n_rows, count(DISTINCT meeting_key) AS n_meeting_key,

@@ -188,10 +188,10 @@ IMPUTED = [("g", f"""SELECT circuit_key, driver_number, {", ".join(f"median({c})
            ("f1", f"""SELECT f.* REPLACE ({", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in K.SPORT_COLS)}) FROM facts_v f LEFT JOIN g
               ON f.circuit_key = g.circuit_key AND f.driver_number = g.driver_number"""),
            ("f2", f"""SELECT f1.* REPLACE ({", ".join(f"coalesce({c}, (SELECT median({c}) FROM f1)) AS {c}" for c in K.SPORT_COLS)},
-              {", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ["temp", "rhum", "pres", "prcp"])}) FROM f1
+              {", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in K.WEATHER_COLS)}) FROM f1
               WINDOW w AS (PARTITION BY session_key ORDER BY lap_number, driver_number, {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
-           ("f3", f"""SELECT f2.* REPLACE ({", ".join(f"coalesce({c}, (SELECT median({c}) FROM f2)) AS {c}" for c in ["temp", "rhum", "prcp", "lap_duration"])}) FROM f2""")]
-IMPUTED_COLS = K.SPORT_COLS + ["temp", "rhum", "pres", "prcp", "lap_duration"]
+           ("f3", f"""SELECT f2.* REPLACE ({", ".join(f"coalesce({c}, (SELECT median({c}) FROM f2)) AS {c}" for c in [*K.WEATHER_COLS, "lap_duration"])}) FROM f2""")]
+IMPUTED_COLS = K.SPORT_COLS + K.WEATHER_COLS + ["lap_duration"]
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "session_key"]
 
 @query("impute_groups", ctes(FACTS_V, *IMPUTED) + f"SELECT {cols(ROW)}, {cols(K.SPORT_COLS, r)} FROM f2")
@@ -202,16 +202,18 @@ def _(s): return features.impute_groups(s.facts, K.SPORT_COLS).select(*ROW, *K.S
 def _(s): return features.impute(s.facts, S.LAP_ORDER).select(*ROW, *IMPUTED_COLS)
 
 
-@query("fill_forward", ctes(FACTS_V) + f"""SELECT {cols(ROW)}, {cols(["temp", "rhum", "prcp"], lambda c: r(f"last_value({c} IGNORE NULLS) OVER w"))} FROM facts_v
+@query("fill_forward", ctes(FACTS_V) + f"""SELECT {cols(ROW)}, {cols(K.WEATHER_COLS, lambda c: r(f"last_value({c} IGNORE NULLS) OVER w"))} FROM facts_v
   WINDOW w AS (PARTITION BY session_key ORDER BY lap_number, driver_number, {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def _(s):
     order = ["lap_number", "driver_number", *S.LAP_ORDER]
-    return ordered.fill_forward(s.facts, ["session_key"], order, ["temp", "rhum", "prcp"]).select(*ROW, "temp", "rhum", "prcp")
+    return ordered.fill_forward(s.facts, ["session_key"], order, K.WEATHER_COLS).select(*ROW, *K.WEATHER_COLS)
 
 
-@query("global_medians", ctes(FACTS_V) + " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'median({c})', 'median')} FROM facts_v" for c in ["lap_duration", "temp", "st_speed"]))
+MEDIAN_COLS = [K.TARGET, *K.SPORT_COLS, *K.WEATHER_COLS, "lap_number", "year"]
+
+@query("global_medians", ctes(FACTS_V) + " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'median({c})', 'median')} FROM facts_v" for c in MEDIAN_COLS))
 def _(s):
-    found = features.global_medians(s.facts, ["lap_duration", "temp", "st_speed"])
+    found = features.global_medians(s.facts, MEDIAN_COLS)
     return s.spark.createDataFrame(list(found.items()), "feature string, median double")
 
 
@@ -279,12 +281,11 @@ def _(s): return s.table("documents").select("doc_id", text.norm_text("text").al
 def _(s): return s.table("documents").select("doc_id", text.slug("text", 64).alias("slug"))
 
 
-@query("page_ids", """SELECT page_id, CASE WHEN url LIKE '%.com/%' THEN regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) END AS circuit_id FROM
-  (SELECT page_id, url FROM {pages}) p WHERE url LIKE '%.com/%'""")
+@query("page_ids", """SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS circuit_id FROM {pages}""")
 def _(s):
     # The test pages have no /wiki/ part: put one in front of their own path.
     moved = F.regexp_replace("url", r"^([a-z]+://[^/]+)/", "$1/wiki/")
-    return s.table("pages").where("url LIKE '%.com/%'").select("page_id", text.page_id(moved).alias("circuit_id"))
+    return s.table("pages").select("page_id", text.page_id(moved).alias("circuit_id"))
 
 
 HAVERSINE = """2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)) AS d FROM (SELECT *, pow(sin(radians(lat2 - lat1) / 2), 2)

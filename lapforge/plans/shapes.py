@@ -60,8 +60,8 @@ SELECT concat('ST', user_id % 25) AS station_id, date_trunc('hour', ts) AS weath
   avg(CASE WHEN event_type = 'view' THEN value END) AS temp,
   avg(CASE WHEN event_type = 'click' THEN value END) AS rhum,
   avg(CASE WHEN event_type = 'purchase' THEN value END) AS pres,
-  CAST(NULL AS DOUBLE) AS wspd, CAST(NULL AS DOUBLE) AS wdir,
-  avg(CASE WHEN event_type = 'error' THEN value END) AS prcp, CAST(NULL AS DOUBLE) AS cldc
+  max(CASE WHEN event_type = 'view' THEN value END) AS wspd, max(CASE WHEN event_type = 'click' THEN value END) AS wdir,
+  avg(CASE WHEN event_type = 'error' THEN value END) AS prcp, max(CASE WHEN event_type = 'purchase' THEN value END) AS cldc
 FROM {events} GROUP BY 1, 2
 """
 
@@ -105,8 +105,9 @@ FACTS = f"""
 SELECT *, date_trunc('hour', date_start) AS lap_hour_utc,
   CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 15 + 100 * l_tax END AS temp,
   CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE 30 + 500 * l_discount END AS rhum,
-  1000 + l_quantity AS pres, CAST(NULL AS DOUBLE) AS wspd, CAST(NULL AS DOUBLE) AS wdir,
-  CASE WHEN l_orderkey % 4 = 0 THEN l_discount END AS prcp, CAST(NULL AS DOUBLE) AS cldc,
+  1000 + l_quantity AS pres, CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE l_quantity / 2 END AS wspd,
+  CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity * 7 END AS wdir,
+  CASE WHEN l_orderkey % 4 = 0 THEN l_discount END AS prcp, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE CAST(l_linenumber AS DOUBLE) END AS cldc,
   concat('laps_session_', session_key, '.csv') AS __source_file
 FROM ({LAPS}) l
 """

@@ -20,14 +20,6 @@ def read_csv(spark: SparkSession, path, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_table(spark: SparkSession, path, fmt: str = "parquet", schema=None) -> DataFrame:
-    if fmt == "parquet":
-        return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
-    if fmt == "csv":
-        return read_csv(spark, path, schema)
-    raise ValueError(f"unknown format {fmt!r}")
-
-
 def read_session_files(spark: SparkSession, folder: str, fmt: str = "csv", schema=None,
                        sessions: int = 0) -> DataFrame:
     """All laps_session_<key> files of a folder as one table with the key and the file name."""
@@ -46,9 +38,11 @@ def lap_records(spark: SparkSession, path, scope: DataFrame | None = None) -> Da
     return type_laps(raw, scope)
 
 
+LAP_TYPES = {"ints": LAP_KEY, "doubles": [TARGET, *SECTOR_COLS, *SPEED_COLS], "times": ["date_start"], "bools": ["is_pit_out_lap"]}
+
+
 def type_laps(raw: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    laps = typed(raw, ints=LAP_KEY, doubles=[TARGET, *SECTOR_COLS, *SPEED_COLS], times=["date_start"],
-                 bools=["is_pit_out_lap"])
+    laps = typed(raw, **LAP_TYPES)
     if scope is None:
         return laps
     known = scope.select("session_key", F.col("meeting_key").alias("_meeting"), F.col("year").alias("_year"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lapforge.functions.html import read_page
+from lapforge.session import store
 
 _OUT = ("page_id long, url string, row int, circuit_name string, circuit_url string, "
         "locality string, country string, latitude double, longitude double")
@@ -29,8 +30,8 @@ def read_pages(pages: DataFrame, base_url: str) -> DataFrame:
 
 
 def page_circuits(pages: DataFrame, base_url: str, scraped_at: str | None = None) -> DataFrame:
-    """Listed circuits with the coordinates found on each circuit's own page."""
-    parsed = read_pages(pages, base_url)
+    """Listed circuits with the coordinates found on each circuit's own page. Pages are parsed once: the few parsed rows are stored."""
+    parsed = store(read_pages(pages, base_url))
     listed = parsed.where("row >= 0").select("circuit_name", "circuit_url", "locality", "country")
     spots = parsed.where("row = -1").groupBy(F.col("url").alias("circuit_url")).agg(
         F.min(F.struct("page_id", "latitude", "longitude")).alias("spot"))

@@ -96,3 +96,15 @@ def test_series_p_value(spark):
     # Published critical value: x = 1.358 is the 5 % point of the limiting distribution.
     row = spark.range(1).select(drift._ks_p_value(F.lit(1.358 / np.sqrt(500.0)), F.lit(1000.0), F.lit(1000.0)).alias("p")).first()
     assert row["p"] == pytest.approx(0.05, abs=5e-4)
+
+
+def test_both_paths_give_the_same_bits(skewed):
+    _, df = skewed
+    odd = df.withColumn("value", F.col("value") * 1.1 + F.col("pos") / 7)
+    probs = {"a": 0.01, "b": 0.5, "c": 0.95, "d": 1 / 3}
+    one, two = (sorted(map(tuple, ordered.quantiles(odd, ["k"], "value", probs, hot).collect())) for hot in (5, 10**6))
+    assert one == two
+    one, two = (sorted(map(tuple, ordered.group_medians(odd, ["k"], ["value", "pos"], hot).collect())) for hot in (5, 10**6))
+    assert one == two
+    one, two = (ordered.quantiles(odd, [], "value", probs, hot).first() for hot in (5, 10**6))
+    assert tuple(one) == tuple(two)
