@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapforge.session import fresh_path
 
-FILE_BYTES = 32 << 20
-ROWS_PER_SHARD = 20_000
+FILE_BYTES = 16 << 20
+ROWS_PER_SHARD = 5_000
+BYTES_PER_SHARD = 32 << 20
+READ_BYTES = 1 << 14
 SPLIT_SAMPLE = 20_000
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -53,12 +55,15 @@ def record(key, url: str | None, payload: bytes, digest: str, refers_to) -> byte
 
 def parsed(data: bytes):
     """(fields, block) of each record of an archive. A broken record raises ValueError."""
-    while data:
-        member = zlib.decompressobj(31)
-        text = member.decompress(data) + member.flush()
-        if not member.eof:
-            raise ValueError("truncated archive")
-        data = member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, texts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("truncated archive")
+            texts.append(member.decompress(view[at:at + READ_BYTES]))
+            at = min(at + READ_BYTES, len(view)) - len(member.unused_data)
+        text = b"".join(texts)
         head, _, rest = text.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(x.split(": ", 1) for x in lines[1:])
@@ -80,15 +85,13 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def marked(pages: DataFrame, key: str, payload: str, least: int = REVISIT_BYTES) -> DataFrame:
-    """pages with payload_bytes, payload_digest and refers_to (null for a response)."""
+def revisits(pages: DataFrame, key: str, payload: str, least: int = REVISIT_BYTES) -> DataFrame:
+    """(key, digest, refers_to) of the records whose payload, of at least `least` bytes, a record with a smaller key has too."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    p = pages.withColumn("payload_bytes", F.octet_length(body).cast("long")).withColumn("payload_digest", F.sha2(body, 256))
-    slim = p.where(F.col("payload_bytes") >= least).select(F.col(key).alias("k"), F.col("payload_digest").alias("d"))
+    slim = pages.where(F.col(key).isNotNull() & (F.octet_length(body) >= least)).select(key, F.sha2(body, 256).alias("digest"))
     # pre-aggregated before the shuffle: very many copies of a payload send one row a task
-    groups = slim.groupBy("d").agg(F.min("k").alias("first_key"), F.count("*").alias("copies")).where("copies > 1")
-    met = p.join(groups, p["payload_digest"] == groups["d"], "left")
-    return met.withColumn("refers_to", F.when(F.col(key) > F.col("first_key"), F.col("first_key"))).drop("d", "first_key", "copies")
+    groups = slim.groupBy("digest").agg(F.min(key).alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    return slim.join(groups, "digest").where(F.col(key) > F.col("refers_to")).select(key, "digest", "refers_to").distinct()
 
 
 def splits(df: DataFrame, key: str, shards: int, sample: int = SPLIT_SAMPLE) -> list:
@@ -108,10 +111,13 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     records of their own; if it is the smallest key of their payload, all of them are responses. Empty table: no files.
     Other columns are not written. The keys are whole numbers.
     """
-    n = pages.count()
-    shards = max(1, -(-n // rows_per_shard))
+    size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length(payload)).alias("b")).first()
+    shards = max(1, -(-size["n"] // rows_per_shard), -(-(size["b"] or 0) // BYTES_PER_SHARD))
     cuts = splits(pages, key, shards)
-    rows = marked(pages.select(key, url, payload), key, payload)
+    # One shuffle brings pages and marks of revisits to their shard; a key's marks stand before its pages.
+    marks = revisits(pages, key, payload).withColumns({url: F.lit(None).cast("string"), payload: F.lit(None).cast("string")})
+    rows = pages.select(key, url, payload).withColumns({"digest": F.lit(None).cast("string"), "refers_to": F.lit(None).cast(pages.schema[key].dataType)})
+    rows = rows.unionByName(marks)
 
     def shard_of(batches):
         import pyarrow as pa
@@ -123,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32())], names=[*b.schema.names, "shard"])
 
     dealt = rows.mapInArrow(shard_of, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())]))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_last(), "payload_digest", url)
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_last(), F.col("digest").asc_nulls_last(), url, F.xxhash64(payload))
 
     def write(batches):
         import pyarrow as pa
@@ -131,6 +137,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         files, root = _files(folder)
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         made, shard, number, parts, held, count = [], None, 0, [], 0, 0
+        marked, marks = None, {}
 
         def roll():
             nonlocal number, parts, held, count
@@ -144,11 +151,16 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             number, parts, held, count = number + 1, [], 0, 0
 
         for b in batches:
-            for k, u, text, digest, refers, s in zip(*(b.column(c).to_pylist() for c in (key, url, payload, "payload_digest", "refers_to", "shard"))):
+            for k, u, text, digest, refers, s in zip(*(b.column(c).to_pylist() for c in (key, url, payload, "digest", "refers_to", "shard"))):
+                if digest is not None:
+                    marked, marks = k, {**(marks if k == marked else {}), digest: refers}
+                    continue
                 if s != shard:
                     roll()
                     shard, number = s, 0
-                one = record(k, u, (text or "").encode(), digest, refers)
+                body = (text or "").encode()
+                digest = hashlib.sha256(body).hexdigest()
+                one = record(k, u, body, digest, marks.get(digest) if k == marked else None)
                 if held and held + len(one) > file_bytes:
                     roll()
                 parts.append(one)
