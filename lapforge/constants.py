@@ -58,7 +58,7 @@ DEFAULT_MAX_LAP = 70
 DEFAULT_TEMP, DEFAULT_RHUM, DEFAULT_PRES, DEFAULT_LAP_NUMBER = 25.0, 50.0, 1013.0, 1
 DEFAULT_PROFILE = {"lap_duration": 90.0, "st_speed": 310.0, "i1_speed": 295.0, "i2_speed": 285.0}
 PROFILE_LAPS = 100
-MAX_PAGE_SIZE, MAX_SESSION_LIMIT, MAX_LAP_LIMIT, MAX_BATCH = 1000, 500, 1000, 1000
+MAX_PAGE_SIZE, MAX_SESSION_LIMIT, MAX_LAP_LIMIT = 1000, 500, 1000
 
 # Inclusive bounds of a scoring request; None means open.
 REQUEST_BOUNDS = {
@@ -83,6 +83,7 @@ RETENTION_DAYS = {"raw": 730, "transform": 365, "dataset": 365, "model": 730, "l
 LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 PREDICTION_BUCKETS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
 QUERY_BUCKETS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0]
+HISTOGRAMS = {"latency": LATENCY_BUCKETS, "prediction": PREDICTION_BUCKETS, "query": QUERY_BUCKETS}
 ALERT_RULES = {
     # name: (measure, comparison, limit, minutes the condition must hold)
     "HighPredictionLatency": ("p95_prediction_seconds", ">", 1.0, 5),

@@ -1,8 +1,10 @@
 """Batch jobs: python -m lapforge.job {run,train,drift} --help. Submit with spark-submit on a cluster.
 
+match  circuit pages, sessions and a station catalogue -> circuit_urls and circuit_stations, as `run` reads them
 run    landed files -> scope, dataset, star schema, reports, checks
 train  dataset -> features, models, runs table, importances
-drift  dataset -> drift per column and summary
+score  requests -> predictions of the best stored model, with the rejected requests and their reasons
+drift  dataset -> drift per column and summary; with --run also the model's errors on both sides and the retrain decision
 """
 
 import argparse
@@ -12,13 +14,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapforge import schemas
-from lapforge.operators import drift, features, models, runs
+from lapforge.operators import drift, features, match, models, quality, runs, scope, serve, stations
 from lapforge.operators.clean import CleanRules
+from lapforge.operators.dataset import SORT_COLS
 from lapforge.operators.quality import all_passed
 from lapforge.operators.shape import limit_sessions, union_named
 from lapforge.plans import pipeline
 from lapforge.session import build_session
-from lapforge.sources import landing, sinks
+from lapforge.sources import landing, pages, sinks
 
 YEARS = [2023, 2024, 2025]
 PLACE = ["year", "meeting_key", "session_key", "driver_number", "lap_number"]
@@ -52,7 +55,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         rules = CleanRules(not a.no_quantiles, a.q_low, a.q_high, min_lap_s=a.min_lap_s, max_lap_s=a.max_lap_s)
         given = landed(spark, a.landing, a.format, a.years, a.limit_sessions)
         result = pipeline.run(given, a.years, a.session_type, rules, a.strict, frozen=True)
-        sinks.write_step(result.dataset, dataset_path, partition_by=["year"])
+        sinks.write_step(result.dataset.orderBy(*SORT_COLS), dataset_path, partition_by=["year"])
         sinks.write_step(result.summary, f"{a.out}/summary")
         sinks.write_step(result.scope, f"{a.out}/scope")
         sinks.write_step(given.drivers, f"{a.out}/drivers")
@@ -71,8 +74,53 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     tables = {n: spark.table(n) for n in schemas.STAR}
     checks = pipeline.pipeline_checks(read("summary"), pipeline.table_counts(tables))
     checks.show(100, False)
-    pipeline.verify(tables).show(100, False)
-    return 0 if all_passed(checks) else 2
+    sinks.write_step(pipeline.verify(tables), f"{a.out}/constraint_violations")
+    sinks.write_step(quality.dataset_checks(read("dataset"), SORT_COLS), f"{a.out}/quality")
+    spark.read.parquet(f"{a.out}/quality").show(100, False)
+    found = spark.read.parquet(f"{a.out}/constraint_violations")
+    found.show(100, False)
+    # Values out of the expected ranges are reported; broken keys and references end the job with an error.
+    broken = found.where("violations > 0 AND (constraint_name LIKE '%primary key' OR constraint_name LIKE '%->%')")
+    return 0 if all_passed(checks) and broken.limit(1).count() == 0 else 2
+
+
+def match_pages(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Circuits of the pages, their mapping to the timing source, and a weather station for each."""
+    listed = pages.page_circuits(spark.read.parquet(a.pages), a.base_url)
+    sinks.write_step(listed, f"{a.out}/page_circuits")
+    listed = spark.read.parquet(f"{a.out}/page_circuits")
+    used = scope.circuits_in_use(landing.session_records(spark, f"{a.landing}/sessions"), a.years)
+    sinks.write_step(match.match_candidates(used, listed, a.top_n), f"{a.out}/match_candidates")
+    candidates = spark.read.parquet(f"{a.out}/match_candidates")
+    chosen = match.final_mapping(candidates, landing.overrides(spark, a.overrides) if a.overrides else None, a.strict)
+    sinks.write_step(chosen, f"{a.out}/circuit_mapping")
+    mapping = spark.read.parquet(f"{a.out}/circuit_mapping")
+    sinks.write_step(match.without_coordinates(mapping), f"{a.out}/circuits_without_coordinates")
+    mapped = match.mapped_pages(listed, mapping).dropDuplicates(["circuit_url"])
+    catalogue, names = landing.station_catalogue(spark, a.stations, a.station_names)
+    hours = landing.station_hours(spark, f"{a.landing}/weather/*")
+    have = hours.select("station_id", F.year("weather_hour_utc").alias("year")).distinct()
+    near = stations.choose_stations(stations.station_candidates(mapped, catalogue, names, have, a.years, a.top_n))
+    sinks.write_step(near, f"{a.out}/station_choice")
+    near = spark.read.parquet(f"{a.out}/station_choice")
+    sinks.write_step(stations.station_folders(near), f"{a.out}/station_folders")
+    for table, name in ((mapping.select("circuit_key", "wikipedia_circuit_url"), "circuit_urls"), (near.select("circuit_url", "station_id"), "circuit_stations")):
+        sinks.write_step(table, f"{a.landing}/{name}", "csv")
+    return 0
+
+
+def score(spark: SparkSession, a: argparse.Namespace) -> int:
+    best = runs.best_run(spark.read.parquet(f"{a.out}/runs"), a.strategy, a.family).first()
+    if best is None:
+        raise landing.NoData("no trained run to score with")
+    requests = spark.read.parquet(a.requests) if a.format == "parquet" else spark.read.json(a.requests)
+    valid, rejected = serve.split_requests(serve.with_simple_defaults(requests) if a.simple else requests)
+    facts = spark.read.parquet(f"{a.out}/star/fact_laps")
+    tables = serve.serving_tables(facts)
+    scored = models.score(serve.enrich_requests(valid, tables), models.load(best["model_path"]))
+    sinks.write_step(serve.compare_predictions(scored, tables, serve.driver_profiles(facts)), f"{a.out}/predictions")
+    sinks.write_step(rejected, f"{a.out}/rejected_requests")
+    return 0
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -99,7 +147,15 @@ def watch(spark: SparkSession, a: argparse.Namespace) -> int:
     flags = drift.drift_flags(drift.ks_by_column(sided), a.alpha)
     sinks.write_step(flags, f"{a.out}/drift")
     spark.read.parquet(f"{a.out}/drift").orderBy("feature").show(100, False)
-    drift.drift_summary(spark.read.parquet(f"{a.out}/drift")).show()
+    summary = drift.drift_summary(spark.read.parquet(f"{a.out}/drift"))
+    summary.show()
+    if a.run:
+        path = spark.read.parquet(f"{a.out}/runs").where(F.col("run_id") == a.run).first()["model_path"]
+        scored = models.load(path).transform(features.preprocess(sided))
+        sinks.write_step(drift.performance_by_side(scored), f"{a.out}/performance_by_side")
+        decision = drift.retrain_needed(spark.read.parquet(f"{a.out}/performance_by_side"), summary)
+        sinks.write_step(decision, f"{a.out}/retrain")
+        spark.read.parquet(f"{a.out}/retrain").show(1, False)
     return 0
 
 
@@ -124,11 +180,28 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--families", nargs="+", default=["random_forest", "boosted_trees"])
     t.add_argument("--tuned", action="store_true")
     t.add_argument("--strategy", choices=["robust", "mae"], default="robust")
+    m = jobs.add_parser("match")
+    m.add_argument("--landing", required=True)
+    m.add_argument("--pages", required=True, help="Parquet table page_id, url, html")
+    m.add_argument("--base-url", default="https://en.wikipedia.org")
+    m.add_argument("--stations", required=True)
+    m.add_argument("--station-names", required=True)
+    m.add_argument("--overrides")
+    m.add_argument("--years", type=int, nargs="+", default=YEARS)
+    m.add_argument("--top-n", type=int, default=5)
+    m.add_argument("--strict", action="store_true", help="circuits without coordinates are an error")
+    s = jobs.add_parser("score")
+    s.add_argument("--requests", required=True)
+    s.add_argument("--format", choices=["json", "parquet"], default="json", help="json is one request per line")
+    s.add_argument("--simple", action="store_true", help="short requests: weather and lap number get defaults")
+    s.add_argument("--strategy", choices=["robust", "mae"], default="robust")
+    s.add_argument("--family", choices=["random_forest", "boosted_trees"])
     d = jobs.add_parser("drift")
+    d.add_argument("--run", help="run id of a trained model to compare on both sides")
     d.add_argument("--since", help="first date of the current part; without it the split is by position")
     d.add_argument("--share", type=float, default=0.7)
     d.add_argument("--alpha", type=float, default=0.05)
-    for q in (r, t, d):
+    for q in (r, t, d, m, s):
         q.add_argument("--out", required=True)
     return p
 
@@ -136,7 +209,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or build_session(f"lapforge-{args.job}")
-    return {"run": run, "train": train, "drift": watch}[args.job](spark, args)
+    return {"match": match_pages, "run": run, "train": train, "score": score, "drift": watch}[args.job](spark, args)
 
 
 if __name__ == "__main__":

@@ -5,17 +5,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapforge.constants import DRIFT_FEATURES, TARGET
-from lapforge.operators.ordered import melt, positions, prefix_sums
+from lapforge.operators.ordered import HOT_ROWS, hot_groups, melt, prefix_sums
 
 REFERENCE, CURRENT = "reference", "current"
 
 
 def split_by_position(df: DataFrame, order_by: Sequence[str], share: float = 0.7, side: str = "side") -> DataFrame:
-    """The first floor(share * n) rows in the given order are the reference part."""
-    placed = positions(df, order_by, "_position")
-    cut = F.floor(F.col("_position_total") * F.lit(share))
-    return placed.withColumn(side, F.when(F.col("_position") < cut, REFERENCE).otherwise(CURRENT)).drop(
-        "_position", "_position_total")
+    """The first floor(share * n) rows in the given order are the reference part; rows that are alike in all order columns stay
+    together, on the current side if the cut falls among them.
+
+    Only the order columns are counted and ordered, to find the first row of the current part. The rows themselves are then
+    compared with it where they are.
+    """
+    order_by = list(order_by)
+    counts = df.groupBy(*order_by).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = prefix_sums(counts, [], order_by, ["_n"], hot_groups(counts, [], HOT_ROWS))
+    edge = ranked.where(F.col("_n_upto") > F.floor(F.col("_n_total") * F.lit(share))).orderBy(*order_by).select(*order_by).first()
+    if edge is None:
+        return df.withColumn(side, F.lit(REFERENCE))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    first = F.struct(*[F.lit(edge[c]).cast(kinds[c]).alias(c) for c in order_by])
+    return df.withColumn(side, F.when(F.struct(*order_by) < first, REFERENCE).otherwise(CURRENT))
 
 
 def split_by_time(df: DataFrame, column: str, since, side: str = "side") -> DataFrame:

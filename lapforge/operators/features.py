@@ -80,8 +80,10 @@ def impute(df: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
 
 def stratified_flag(df: DataFrame, stratum: str = "circuit_key", test_size: float = K.TEST_SIZE,
                     seed: int = K.SEED, key: Sequence[str] = K.LAP_KEY, flag: str = "is_train") -> DataFrame:
-    """Mark ceil((1 - test_size) * n) rows per stratum as train, by a seeded hash of the key.
+    """Mark rows as train by a seeded hash of the key: all but ceil(test_size * N) of N rows, each stratum its share.
 
+    A stratum's test rows are its share rounded down; what is missing from the total goes one each to the largest remainders
+    (equal ones: the smaller stratum first).
     The mark depends only on the rows, never on their layout. Rows with the same key get the same
     mark, so copies never sit on both sides; a key that straddles the limit is train.
     """
@@ -97,6 +99,17 @@ def leading_digits(rows: int) -> int:
     return min(8, max(1, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16))))
 
 
+def train_quotas(counts: DataFrame, stratum: str, test_size: float) -> DataFrame:
+    """(_of, _quota): train rows of each stratum, from counts (stratum, _n). One row per stratum is ordered."""
+    everyone = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = counts.groupBy(F.col(stratum).alias("_of")).agg(F.sum("_n").alias("_size")).withColumn("_all", F.sum("_size").over(everyone))
+    wanted = F.ceil(F.col("_all") * F.lit(test_size) - F.lit(1e-9))
+    sizes = sizes.withColumn("_share", wanted * F.col("_size") / F.col("_all")).withColumn("_test", F.floor(F.col("_share") + F.lit(1e-9)))
+    place = F.row_number().over(Window.orderBy((F.col("_share") - F.col("_test")).desc(), F.col("_of").asc_nulls_first()))
+    extra = (place <= wanted - F.sum("_test").over(everyone)).cast("long")
+    return sizes.select("_of", (F.col("_size") - F.col("_test") - extra).alias("_quota"))
+
+
 def _digest_limits(marked: DataFrame, stratum: str, test_size: float) -> DataFrame:
     """Largest train digest per stratum, without ordering the rows.
 
@@ -105,11 +118,12 @@ def _digest_limits(marked: DataFrame, stratum: str, test_size: float) -> DataFra
     the number of rows and keeps a bucket near BUCKET_ROWS.
     """
     digits = F.substring("_digest", 1, leading_digits(marked.count()))
-    total = F.sum("_n").over(Window.partitionBy(stratum))
     upto = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0))
     buckets = marked.groupBy(F.col(stratum).alias(stratum), digits.alias("_digits")).agg(F.count(F.lit(1)).alias("_n"))
-    quota = F.ceil(F.col("_total") * F.lit(1 - test_size) - F.lit(1e-9))
-    turning = lookup(buckets.select(stratum, "_digits", "_n", total.alias("_total"), upto.alias("_upto")).where(
+    quotas = lookup(train_quotas(buckets, stratum, test_size))
+    buckets = buckets.join(quotas, F.col(stratum).eqNullSafe(F.col("_of")))
+    quota = F.col("_quota")
+    turning = lookup(buckets.select(stratum, "_digits", "_n", "_quota", upto.alias("_upto")).where(
         (F.col("_upto") - F.col("_n") < quota) & (quota <= F.col("_upto"))).select(
         F.col(stratum).alias("_s"), F.col("_digits").alias("_d"), (quota - (F.col("_upto") - F.col("_n"))).alias("_left")))
     inside = marked.select(stratum, "_digest", digits.alias("_digits")).join(
@@ -195,8 +209,3 @@ def model_columns(df: DataFrame) -> list[str]:
 
 def train_test(df: DataFrame, flag: str = "is_train") -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(flag)), df.where(~F.col(flag))
-
-
-def quota(n: int, test_size: float = K.TEST_SIZE) -> int:
-    """Train rows of a stratum of n rows with distinct keys."""
-    return math.ceil(n * (1 - test_size) - 1e-9)

@@ -64,7 +64,7 @@ def order_chunks(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 
 def _by_chunk(chunks: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = _renamed(summary, [*keys, CHUNK])
+    right = _renamed(lookup(summary), [*keys, CHUNK])
     return chunks.join(right, _match(chunks, right, [*keys, CHUNK]))
 
 

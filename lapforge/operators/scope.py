@@ -25,10 +25,6 @@ def ends_before_start(scope: DataFrame) -> DataFrame:
     return scope.where(F.col("date_end") < F.col("date_start"))
 
 
-def session_keys(scope: DataFrame) -> DataFrame:
-    return scope.select("session_key").distinct()
-
-
 def circuits_in_use(sessions: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
     """One row per circuit: most frequent names (ties go to the smaller), name variants, years."""
     require(sessions, ["circuit_key", "circuit_short_name", "country_name", "location"])

@@ -192,11 +192,6 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("reason") == 0).drop("reason"), checked.where(F.size("reason") > 0)
 
 
-def check_batch_size(n: int) -> None:
-    if not 1 <= n <= K.MAX_BATCH:
-        raise ValueError(f"a batch holds 1 to {K.MAX_BATCH} requests")
-
-
 def with_simple_defaults(requests: DataFrame) -> DataFrame:
     """Weather and lap number of the short request form."""
     given = {"temp": K.DEFAULT_TEMP, "rhum": K.DEFAULT_RHUM, "pres": K.DEFAULT_PRES, "lap_number": K.DEFAULT_LAP_NUMBER}

@@ -9,6 +9,8 @@ from lapforge.plans import shapes as S
 from lapforge.plans.catalog import (DIM_CIRCUITS, DIM_DRIVERS, DRIVERS_V, EVENTS, FACTS, FACTS_V, LAPS, ORDER, SESSIONS, SESSIONS_TWICE,
                                     cols, ctes, query, r, rounded, t)
 from lapforge.plans.catalog_pipeline import facts
+from lapforge.operators.shape import union_named
+from lapforge.session import freeze
 from lapforge.sources import stream
 from lapforge.streaming import rules
 
@@ -217,9 +219,13 @@ def _(s):
     return s.spark.createDataFrame(list(found.items()), "feature string, median double")
 
 
-TRAIN = ("flagged", """SELECT *, rank() OVER (PARTITION BY circuit_key ORDER BY md5(concat_ws(':', '42', CAST(meeting_key AS VARCHAR),
+TRAIN = ("flagged", """SELECT facts_v.*, rank() OVER (PARTITION BY circuit_key ORDER BY md5(concat_ws(':', '42', CAST(meeting_key AS VARCHAR),
   CAST(session_key AS VARCHAR), CAST(driver_number AS VARCHAR), CAST(lap_number AS VARCHAR)))) <=
-  ceil(count(*) OVER (PARTITION BY circuit_key) * 0.8::DOUBLE - 1e-9) AS is_train FROM facts_v""")
+  quota AS is_train FROM facts_v JOIN (
+    SELECT circuit_key AS k, size - test - CASE WHEN row_number() OVER (ORDER BY share - test DESC, circuit_key) <= wanted - sum(test) OVER () THEN 1 ELSE 0 END AS quota FROM (
+      SELECT *, floor(share + 1e-9) AS test FROM (SELECT *, wanted * size / total::DOUBLE AS share FROM (
+        SELECT circuit_key, count(*) AS size, sum(count(*)) OVER () AS total, ceil(sum(count(*)) OVER () * 0.2::DOUBLE - 1e-9) AS wanted FROM facts_v GROUP BY 1) a) b) c
+  ) q ON circuit_key = k""")
 
 @query("stratified_flag", ctes(FACTS_V, TRAIN) + f"SELECT {cols(ROW)}, is_train FROM flagged")
 def _(s): return features.stratified_flag(s.facts).select(*ROW, "is_train")
@@ -258,10 +264,11 @@ def _(s):
     return features.DerivedFeatures.fit(df).apply(df).select(*ROW, "avg_speed", "lap_progress", "driver_perf_score")
 
 
-@query("feature_projection", ctes(FACTS_V) + f"SELECT driver_number, circuit_key, {r('avg(temp)', 'temp')}, {r('avg(st_speed)', 'st_speed')} FROM facts_v GROUP BY 1, 2")
+@query("feature_projection", ctes(FACTS_V) + f"""SELECT column_name FROM (SELECT unnest(json_keys(to_json(f))) AS column_name FROM (SELECT * FROM facts_v LIMIT 1) f) x
+  WHERE column_name NOT IN ({", ".join(f"'{c}'" for c in K.EXCLUDED_FEATURES)})""")
 def _(s):
     kept = s.facts.select(*features.model_columns(s.facts))
-    return kept.groupBy("driver_number", "circuit_key").agg(F.avg("temp").alias("temp"), F.avg("st_speed").alias("st_speed"))
+    return s.spark.createDataFrame([(c,) for c in kept.columns], "column_name string")
 
 
 @query("preprocess")
@@ -579,21 +586,73 @@ def event_stream(s):
     return stream.event_stream(s.spark, s.folder, "events.parquet")
 
 
-# The streams end with the data: windows that end after the last watermark stay open.
-CLOSED = "window_end <= (SELECT max(ts) FROM events_v) - INTERVAL '10' MINUTE"
+# A drained stream returns every window; those that end after its last watermark come out open.
+CLOSED = "window_end <= (SELECT max(ts) FROM events_v) - INTERVAL '10' MINUTE AS closed"
 
-@query("stream_sliding_metrics", ctes(EVENTS, MINUTE, WIDE) + f"{SLIDING} WHERE {CLOSED}")
-def _(s): return rules.run_available(rules.sliding_metrics(event_stream(s), ["event_type"], B), "sliding")
 
+def sliding(events): return rules.sliding_metrics(events, ["event_type"], B)
 
-@query("stream_label_counters", ctes(EVENTS) + f"""SELECT {t("m", "window_start")}, event_type, failed, n FROM (SELECT date_trunc('minute', ts) AS m, event_type, failed,
-  count(*) AS n FROM events_v GROUP BY 1, 2, 3) x WHERE m + INTERVAL '1' MINUTE <= (SELECT max(ts) FROM events_v) - INTERVAL '10' MINUTE""")
-def _(s): return rules.run_available(rules.label_counters(event_stream(s), ["event_type", "failed"]), "counters")
+
+def window_end(df): return df["window_end"]
+
+
+@query("stream_sliding_metrics", ctes(EVENTS, MINUTE, WIDE) + SLIDING.replace(" FROM wide", f", {CLOSED} FROM wide"))
+def _(s):
+    closed = rules.run_available(sliding(event_stream(s)), "sliding")
+    return rules.with_open_windows(closed, s.events, sliding, window_end, "5 minutes")
+
+
+@query("stream_label_counters", ctes(EVENTS) + f"""SELECT {t("m", "window_start")}, event_type, failed, n,
+  m + INTERVAL '1' MINUTE <= (SELECT max(ts) FROM events_v) - INTERVAL '10' MINUTE AS closed
+  FROM (SELECT date_trunc('minute', ts) AS m, event_type, failed, count(*) AS n FROM events_v GROUP BY 1, 2, 3) x""")
+def _(s):
+    count = lambda events: rules.label_counters(events, ["event_type", "failed"])
+    return rules.with_open_windows(rules.run_available(count(event_stream(s)), "counters"), s.events, count,
+                                   lambda df: df["window_start"] + F.expr("INTERVAL '1 minute'"), "1 minute")
 
 
 @query("stream_held_condition", ctes(EVENTS, MINUTE, WIDE, *HELD) + f"""SELECT event_type, {t("window_end", "window_end")}, {t("since", "since")},
-  window_end - since >= INTERVAL '5' MINUTE AS firing FROM held WHERE {CLOSED}""")
+  window_end - since >= INTERVAL '5' MINUTE AS firing, {CLOSED} FROM held""")
+def _(s):
+    windows = rules.relay(sliding(event_stream(s)), "windows")
+    breach = lambda df: rules.rule_samples(df, "mean_value", ">", 12.0)
+    done = rules.run_available(rules.held_stream(breach(windows), ["event_type"], 5), "held")
+    # A run of breached windows can begin among the closed ones and go on among the open ones.
+    closed = rules.run_available(sliding(event_stream(s)), "windows")
+    every = rules.with_open_windows(closed, s.events, sliding, window_end, "5 minutes")
+    tail = rules.held(breach(every), ["event_type"], 5)
+    cut = rules.last_watermark(s.events)
+    return done.withColumn("closed", F.lit(True)).unionByName(tail.where(F.col("window_end") > cut).withColumn("closed", F.lit(False)))
+
+
+# The published rules, each with its own comparison, limit and hold time, on measures made from events.
+RULE_MEASURES = {
+    "HighPredictionLatency": ("quantile", "quantile / 20"), "HighPredictionErrorRate": ("error_ratio", "error_ratio"),
+    "HighAPIErrorRate": ("error_ratio", "error_ratio / 10"), "SlowDatabaseQueries": ("quantile", "quantile / 10"),
+    "ModelNotLoaded": ("n", "CASE WHEN n % 3 = 0 THEN 0.0 ELSE 1.0 END"), "APIDown": ("n", "CASE WHEN n % 2 = 0 THEN 0.0 ELSE 1.0 END"),
+    "DatabaseConnectionIssues": ("n", "CASE WHEN n % 5 < 2 THEN 0.0 ELSE 1.0 END"),
+}
+
+
+def rule_sql(name):
+    _, comparison, limit, hold = K.ALERT_RULES[name]
+    measure = RULE_MEASURES[name][1].replace("quantile", f"({_QUANTILE})").replace("error_ratio", "(n_failed / n::DOUBLE)")
+    return f"""SELECT '{name}' AS rule, event_type, {t("window_end", "window_end")}, {t("since", "since")}, window_end - since >= INTERVAL '{hold}' MINUTE AS firing FROM (
+      SELECT *, min(window_end) OVER (PARTITION BY event_type, island) AS since FROM (
+        SELECT *, window_end - row_number() OVER (PARTITION BY event_type ORDER BY window_end) * INTERVAL '1' MINUTE AS island
+        FROM (SELECT *, {measure} AS measured FROM wide) w WHERE measured {comparison} {limit}) x) y"""
+
+
+@query("alert_rules", ctes(EVENTS, MINUTE, WIDE) + " UNION ALL ".join(rule_sql(n) for n in K.ALERT_RULES))
+def _(s):
+    metrics = freeze(sliding(s.events))
+    return union_named([rules.alerts(metrics.withColumn("measured", F.expr(RULE_MEASURES[n][1])), n, "measured", ["event_type"]) for n in K.ALERT_RULES])
+
+
+@query("histogram_families", ctes(EVENTS) + " UNION ALL ".join(
+    f"SELECT '{family}' AS family, event_type, {b}::DOUBLE AS le, count(CASE WHEN value / 20 <= {b} THEN 1 END) AS n FROM events_v GROUP BY 2"
+    for family, bounds in K.HISTOGRAMS.items() for b in [*bounds, 1e9]))
 def _(s):
-    windows = rules.relay(rules.sliding_metrics(event_stream(s), ["event_type"], B), "windows")
-    samples = rules.rule_samples(windows, "mean_value", ">", 12.0)
-    return rules.run_available(rules.held_stream(samples, ["event_type"], 5), "held")
+    scaled = s.events.withColumn("value", F.col("value") / 20)
+    parts = [rules.cumulative_histogram(scaled, ["event_type"], bounds).withColumn("family", F.lit(f)) for f, bounds in K.HISTOGRAMS.items()]
+    return union_named(parts).withColumn("le", F.least("le", F.lit(1e9)))

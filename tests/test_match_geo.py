@@ -135,5 +135,3 @@ def test_station_choice(spark):
     assert named == {"001": "One", "002": "Zwei", "004": None}
     folders = {r["station_id"]: r["folder"] for r in stations.station_folders(stations.choose_stations(cand)).collect()}
     assert folders == {"002": "002__c1__l1", "005": "005__c2__l2"}
-    text_years = stations.joined_years(cand).where("station_id = '002'").first()
-    assert (text_years["years_ok"], text_years["years_missing"]) == ("2023|2024", "")

@@ -34,7 +34,13 @@ def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+# Queries that train a model or drain a stream while they are planned; their parts are planned by other queries.
+EAGER = {"preprocess", "random_forest_importance", "train_run_record", "boosted_trees_scores", "grid_search_points"}
+
+
 def test_no_query_multiplies_tables_blindly(spark):
-    for name in ("dataset", "fact_laps", "match_candidates", "nearest_stations", "drift_by_column", "dataset_stats"):
+    for name in sorted(QUERIES.keys() - EAGER):
+        if name.startswith("stream_"):
+            continue
         plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
