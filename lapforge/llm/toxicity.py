@@ -19,6 +19,7 @@ from lapforge.llm.common import free_name
 EXAMPLES = 20_000
 NEIGHBOURS = 15
 BLOCK = 64
+PRIOR_VOTE = 1.0
 LEAST_EXAMPLES = 3
 PREFIXES = (4, 5)
 CACHED_WORDS = 200_000
@@ -146,8 +147,8 @@ class Index:
             count[i == me] -= 1
             toxic[i == me] -= leave
         w = s / (1.05 - np.minimum(s, 1.0)) * np.log1p(count) / np.maximum(count, 1)
-        total = float((w * count).sum())
-        share = float((w * toxic).sum()) / total if total > 0 else 0.0
+        # far neighbours alone weigh little against the rate among examples without any term
+        share = (float((w * toxic).sum()) + PRIOR_VOTE * self.base()) / (float((w * count).sum()) + PRIOR_VOTE)
         return share, [(int(self.doc[x]), float(y), float(self.toxic[x] / self.count[x])) for x, y in zip(i[:3], s[:3])]
 
     def calibrate(self, asked: list[tuple[float, int]]) -> None:
