@@ -94,11 +94,14 @@ def revisits(pages: DataFrame, key: str, payload: str, least: int = REVISIT_BYTE
     return slim.join(groups, "digest").where(F.col(key) > F.col("refers_to")).select(key, "digest", "refers_to").distinct()
 
 
-def splits(df: DataFrame, key: str, shards: int, sample: int = SPLIT_SAMPLE) -> list:
-    """shards - 1 split keys from the `sample` keys of smallest hash: the same for the same rows, however they are partitioned."""
+def splits(df: DataFrame, key: str, shards: int, rows: int, sample: int = SPLIT_SAMPLE) -> list:
+    """shards - 1 split keys from the `sample` distinct keys of smallest hash: the same for the same rows, however they are partitioned.
+
+    Only keys whose hash lies in the lowest part, four times as many as needed, leave their tasks."""
     if shards == 1:
         return []
-    keys = df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample)
+    low = F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") < min(1.0, 4 * sample / max(1, rows)) * 2.0 ** 53
+    keys = df.where(F.col(key).isNotNull() & low).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
     ordered = sorted(r[0] for r in keys.collect())
     return [ordered[len(ordered) * i // shards] for i in range(1, shards)] if ordered else []
 
@@ -113,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """
     size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length(payload)).alias("b")).first()
     shards = max(1, -(-size["n"] // rows_per_shard), -(-(size["b"] or 0) // BYTES_PER_SHARD))
-    cuts = splits(pages, key, shards)
+    cuts = splits(pages, key, shards, size["n"])
     # One shuffle brings pages and marks of revisits to their shard; a key's marks stand before its pages.
     marks = revisits(pages, key, payload).withColumns({url: F.lit(None).cast("string"), payload: F.lit(None).cast("string")})
     rows = pages.select(key, url, payload).withColumns({"digest": F.lit(None).cast("string"), "refers_to": F.lit(None).cast(pages.schema[key].dataType)})
