@@ -106,8 +106,10 @@ BASELINE = {
 }
 GRID = {
     "random_forest": {"numTrees": [150, 200], "maxDepth": [15, 20], "minInstancesPerNode": [1, 2],
-                      "featureSubsetStrategy": ["sqrt", "0.7"], "minInfoGain": [0.0, 0.001]},
+                      "featureSubsetStrategy": ["sqrt", "0.7"]},
     "boosted_trees": {"maxIter": [100, 200, 300], "maxDepth": [7, 10], "stepSize": [0.05, 0.1],
-                      "minInstancesPerNode": [1, 3], "minInfoGain": [0.0, 0.1]},
+                      "minInstancesPerNode": [1, 3]},
 }
+# Held for every point of a grid.
+FIXED = {"random_forest": {}, "boosted_trees": {"subsamplingRate": 0.75, "featureSubsetStrategy": "0.75"}}
 OVERFIT_LIMIT, CLOSE_MAE, GOOD_MAE = 5.0, 0.01, 1.5
