@@ -135,7 +135,7 @@ def test_best_run(spark, rows, strategy, family, best):
 
 def test_grids_have_the_published_sizes():
     assert len(models.parameter_points(K.GRID["boosted_trees"])) == 24
-    assert len(models.parameter_points(K.GRID["random_forest"])) == 32
+    assert len(models.parameter_points(K.GRID["random_forest"])) == 16
     assert len(K.EXCLUDED_FEATURES) == 27 and len(K.MODEL_FEATURES) == 14
 
 
