@@ -6,8 +6,9 @@ below j + 1, later steps cannot change it and it is done: large documents need o
 the signature give candidates, which are verified on the full sets. Equal sets are one class from the start.
 
 Candidates are never all pairs of a band. Each band first links its members to its smallest one; components of verified
-links follow. Then members of one band that are still in different components are verified against each other: those
-outside the band's largest component against all others. After that, each candidate pair is either verified or joined.
+links follow. Then members of one band that are still in different components meet: those outside the band's largest
+component and all others, in blocks, by an inverted index of their shingles that writes out only links. After that, each
+candidate pair is either verified or joined.
 """
 
 import hashlib
@@ -22,6 +23,7 @@ from lapforge.llm.hashing import shingle_set
 WORDS, PERCENT = 5, 75
 SLOTS, ROWS = 128, 4
 PLANE = 1 << 17  # elements that hold a permutation at a time
+OUTSIDERS, MEMBERS = 512, 2048  # most outsiders and members of a band in one cell, on average
 
 
 def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -125,6 +127,64 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
     return met.mapInArrow(confirm, "a long, b long")
 
 
+def _meet(words: int, percent: int):
+    """Links between the outsiders and the members of one cell of a band; the sets are met by an inverted index, no pair is written out."""
+
+    def run(table):
+        import pyarrow as pa
+        import zstandard
+        expand = zstandard.ZstdDecompressor()
+        band = table.column("band")[0].as_py()
+        ids, n, component, outside = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "n", "component", "outside"))
+        bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        sets = [shingle_set(expand.decompress(x.as_py()), words) for x in table.column("packed")]
+        m = np.flatnonzero(outside == 0)
+        flat, owner = np.concatenate([sets[i] for i in m]), np.repeat(np.arange(len(m)), [len(sets[i]) for i in m])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        links = []
+        for x in np.flatnonzero(outside == 1):
+            # a pair is looked at once: in the first band that both are in, and from the smaller id if both are outsiders
+            first = np.argmax(bands[m] == bands[x], axis=1)
+            ok = (component[m] != component[x]) & (bands[x][first] == band) & (100 * np.minimum(n[m], n[x]) >= percent * np.maximum(n[m], n[x]))
+            if not ok.any():
+                continue
+            low, high = np.searchsorted(flat, sets[x], side="left"), np.searchsorted(flat, sets[x], side="right")
+            size = high - low
+            hits = owner[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            both = np.bincount(hits, minlength=len(m))
+            good = np.flatnonzero(ok & (100 * both >= percent * (n[m] + n[x] - both)))
+            if len(good):  # one link to each component is enough
+                _, one = np.unique(component[m][good], return_index=True)
+                links += [(int(min(ids[x], ids[m][i])), int(max(ids[x], ids[m][i]))) for i in good[one]]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def across(split: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, outsiders: int = OUTSIDERS, members: int = MEMBERS) -> DataFrame:
+    """Verified links (a, b) between different components of a band. split: band, id, n, component, main (the band's largest
+    component), members and largest (its sizes); texts: id, bands, packed.
+
+    A band's outsiders, which are not in its main component, meet all its members in cells of bounded size: a band is cut
+    into as many blocks of outsiders and of members as it needs.
+    """
+    rows = split.join(texts, "id")
+    across_ = F.ceil((F.col("members") - F.col("largest")) / outsiders).cast("int")
+    down = F.ceil(F.col("members") / members).cast("int")
+    rows = rows.withColumn("across", F.greatest(across_, F.lit(1))).withColumn("down", F.greatest(down, F.lit(1)))
+    spread = F.xxhash64("id", F.lit("cell"))
+    block = F.pmod(spread, F.col("down")).cast("int")
+    turn = F.pmod(spread, F.col("across")).cast("int")
+    columns = ["band", "id", "n", "component", "bands", "packed"]
+    as_member = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).select(*columns, "x", block.alias("y"), F.lit(0).alias("outside"))
+    as_outsider = rows.where("component <> main").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).select(
+        *columns, turn.alias("x"), "y", F.lit(1).alias("outside"))
+    cells = as_member.unionByName(as_outsider).groupBy("band", "x", "y")
+    return cells.applyInArrow(_meet(words, percent), "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of df.
 
@@ -154,13 +214,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(links)
 
     placed = crowded.select("band", "id", "n").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    groups = placed.groupBy("band", "component").count().groupBy("band").agg(
-        F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed_bands = stored(placed.join(groups, "band").select("band", "id", "n", "component", "main"), "mixed")
-    outside = mixed_bands.where("component <> main").select("band", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("cx"))
-    cross = outside.join(mixed_bands, "band").where((F.col("component") != F.col("cx")) & fits)
-    cross = cross.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(verified(cross, texts, words, percent), "links")
+    parts = placed.groupBy("band", "component").count()
+    groups = parts.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"),
+                                       F.sum("count").alias("members"), F.max("count").alias("largest")).where("parts > 1")
+    split = stored(placed.join(groups, "band").select("band", "id", "n", "component", "main", "members", "largest"), "split")
+    more = stored(across(split, alone.select("id", "bands", "packed").dropDuplicates(["id"]), words, percent), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     found = stored(found, "components")

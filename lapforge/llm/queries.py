@@ -141,3 +141,58 @@ def op10_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     index = toxicity.fit(docs, table(spark, folder, "labels"))
     out = toxicity.score(docs, index, ["doc_id"])
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+# The three trees of a document (its own, that of its edited text, that of the next one) as rows, then side by side.
+ORACLES["op8_merkle_fingerprints"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM n),
+t AS (SELECT doc_id, 'own' AS kind, text AS x FROM e UNION ALL SELECT doc_id, 'edit', edited FROM e UNION ALL SELECT doc_id, 'next', next_text FROM e),
+l AS (SELECT doc_id, kind, list_transform(string_split(x, chr(10)), lambda line: list_transform(regexp_extract_all(line, '[^.,;:!?]*[.,;:!?]|[^.,;:!?]+'), lambda p: md5(p))) AS lines FROM t),
+p AS (SELECT doc_id, kind, list_transform(lines, lambda y: {'hash': md5(coalesce(array_to_string(y, ','), '')), 'leaves': list_transform(y, lambda z: z[1:8])}) AS p FROM l),
+b AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: p[i].hash[1:1] < '4' OR i = len(p)) AS borders FROM p),
+s AS (SELECT *, list_transform(borders, lambda z, k: p[coalesce(borders[k - 1], 0) + 1 : z]) AS runs FROM b),
+h AS (SELECT doc_id, kind, list_distinct(flatten(list_transform(p, lambda q: q.leaves))) AS leaves, list_transform(runs, lambda run: {
+    'hash': md5(array_to_string(list_transform(run, lambda q: q.hash), ',')),
+    'below': array_to_string(list_transform(run, lambda q: coalesce(array_to_string(q.leaves, ''), '')), ',')}) AS nodes FROM s),
+f AS (SELECT doc_id, kind, leaves, md5(array_to_string(list_transform(nodes, lambda z: z.hash), ',')) || ':'
+    || array_to_string(list_transform(nodes, lambda z: z.hash[1:16] || '=' || z.below), ';') AS fingerprint FROM h)
+SELECT e.doc_id, length(e.text) AS n_chars, sha256(edited) AS edited_sha256, o.fingerprint AS fingerprint, c.fingerprint AS edited_fingerprint,
+  CASE WHEN len(o.leaves) + len(c.leaves) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(o.leaves, c.leaves)) / (len(o.leaves) + len(c.leaves)) END AS near_edited,
+  CASE WHEN len(o.leaves) + len(x.leaves) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(o.leaves, x.leaves)) / (len(o.leaves) + len(x.leaves)) END AS near_next
+FROM e JOIN f o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN f c ON c.doc_id = e.doc_id AND c.kind = 'edit' JOIN f x ON x.doc_id = e.doc_id AND x.kind = 'next'
+"""
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages), m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM m
+"""
+
+# All pairs that share a shingle, all documents that a document reaches.
+ORACLES["op7_superminhash_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, min(root) = r.id AS kept FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
+"""
+
+# Bytes as pairs of hexadecimal digits; a byte goes if one of the 100 strings over it starts earlier, too.
+ORACLES["op5_suffix_array_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN i + 100 <= len(h) // 2 THEN substr(h, 2 * i + 1, 200) END AS s FROM b),
+f AS (SELECT doc_id, i, x, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM w),
+g AS (SELECT doc_id, i, x, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 99 PRECEDING) AS gone FROM f),
+t AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM g),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, count(*) FILTER (starts) AS spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM t GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -27,6 +27,7 @@ from lapforge.llm.hashing import CODES, powers, prefix, stretch
 SPAN, GRAM = 100, 40
 CROWD = 200_000
 SEGMENT = 1 << 20
+TURN = 200_000
 PLACE = np.uint64((1 << 22) - 1)
 BUCKETS_PER_PARTITION = 4
 MOST_CROWDED = 5_000_000
@@ -356,18 +357,20 @@ def _send(span: int, gram: int, buckets: int, crowded: np.ndarray):
     return run
 
 
-def common_extension(p: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common extension of suffixes a and b, up to most: binary search on hashes of stretches."""
+def common_extension(p: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stride: int) -> np.ndarray:
+    """Length of the common extension of suffixes a and b, up to most: binary search on hashes of stretches. p holds prefix sums of
+    rows of `stride` places each."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
-    inverse = powers(len(p))[1]
+    inverse = powers(stride)[1]
+    of_a, of_b = inverse[a % stride], inverse[b % stride]
     while (low < high).any():
         middle = (low + high + 1) // 2
-        equal = (p[a + middle] - p[a]) * inverse[a] == (p[b + middle] - p[b]) * inverse[b]
+        equal = (p[a + middle] - p[a]) * of_a == (p[b + middle] - p[b]) * of_b
         low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
     return low
 
 
-def merge_sorted(s: np.ndarray, p: np.ndarray, suffix: np.ndarray, segment: np.ndarray, most: int) -> np.ndarray:
+def merge_sorted(s: np.ndarray, p: np.ndarray, suffix: np.ndarray, segment: np.ndarray, most: int, stride: int) -> np.ndarray:
     """Order of suffixes within their segments by their first `most` bytes, equal ones in the given order.
 
     segment is sorted. All segments are merged at once, bottom-up: a suffix moves by the number of suffixes of the
@@ -395,7 +398,7 @@ def merge_sorted(s: np.ndarray, p: np.ndarray, suffix: np.ndarray, segment: np.n
                 break
             middle = (low[open_] + high[open_]) // 2
             a, b = x[open_], suffix[order[base[live[open_]] + middle]]
-            same = common_extension(p, a, b, most)
+            same = common_extension(p, a, b, most, stride)
             over = same >= most
             less = np.where(over, right[open_], s[np.minimum(b + same, len(s) - 1)] < s[np.minimum(a + same, len(s) - 1)])
             low[open_] = np.where(less, middle + 1, low[open_])
@@ -437,10 +440,10 @@ def _sorted_out(span: int, gram: int):
             r, rows = r[~done], rows[~done]
             group = np.append(0, np.cumsum(r["gram"][1:] != r["gram"][:-1]))
             size = np.bincount(group)
-            # contexts of one gram meet; whole grams at a time, about 250,000 windows each
+            # contexts of one gram meet; whole grams at a time, about TURN windows each
             keep = size[group] > 1
             r, rows, group = r[keep], rows[keep], group[keep]
-            load = np.cumsum(r["wide"].astype(np.int64)) // 250_000
+            load = np.cumsum(r["wide"].astype(np.int64)) // TURN
             edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[:len(r)]
             turn = np.repeat(load[edges], np.diff(np.append(edges, len(r)))) if len(r) else load
             for t in np.unique(turn):
@@ -453,28 +456,44 @@ def _sorted_out(span: int, gram: int):
 
 def _windows(r: np.ndarray, rows: np.ndarray, span: int):
     """Windows of contexts (sorted by gram, document and place) that have an equal earlier one."""
-    size = r["wide"].astype(np.int64) + span - 1
-    s = rows[np.arange(rows.shape[1]) < size[:, None]]
-    begin = np.cumsum(size) - size
+    stride = rows.shape[1] + 1
+    s = np.zeros((len(rows), stride), np.uint8)
+    s[:, :-1] = rows
+    p = np.zeros((len(rows), stride), np.uint64)
+    np.cumsum(CODES[rows] * powers(stride)[0][:stride - 1], axis=1, out=p[:, 1:])
+    s, p = s.ravel(), p.ravel()
     wide = r["wide"].astype(np.int64)
     own = np.repeat(np.arange(len(r)), wide)
     step = np.arange(len(own)) - np.repeat(np.cumsum(wide) - wide, wide)
-    suffix, place = begin[own] + step, r["lead"].astype(np.int64)[own] - step
-    group = np.cumsum(np.append(0, r["gram"][1:] != r["gram"][:-1]))[own]
-    by = np.lexsort((r["at"][own] + step, r["doc"][own], place, group))
-    segment = np.cumsum(np.append(0, (group[by][1:] != group[by][:-1]) | (place[by][1:] != place[by][:-1])))
-    single = np.bincount(segment)[segment] == 1
-    by, segment = by[~single], segment[~single]
-    if not len(by):
-        return tuple(np.empty(0, np.int64) for _ in range(3))
-    p = prefix(s)
-    order = merge_sorted(s, p, suffix[by], segment, span)
+    suffix = own * stride + step
+    # Equal windows have one gram, one place, and equal first and last eight bytes: what differs in these need not be sorted together.
+    eights = np.lib.stride_tricks.sliding_window_view(s, 8)
+    ends = [np.ascontiguousarray(eights[x]).view("<u8").ravel() for x in (suffix, suffix + span - 8)]
+    place = (r["lead"].astype(np.int64)[own] - step).astype(np.uint64)
+    key = mixed(ends[0] + mixed(ends[1] + mixed(r["gram"][own] + place)))
+    by = np.argsort(key, kind="stable")  # stable: within a key by document and start
+    segment = np.cumsum(np.append(0, key[by][1:] != key[by][:-1]))
+    several = np.bincount(segment)[segment] > 1
+    by, segment = by[several], segment[several]
+    out = []
+    starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))[:len(segment)]
+    turn = starts // TURN
+    for t in np.unique(turn):  # whole segments, about TURN suffixes at a time
+        first = starts[np.searchsorted(turn, t)]
+        after = np.searchsorted(turn, t, side="right")
+        part = slice(first, starts[after] if after < len(starts) else len(by))
+        out.append(_sorted_part(r, s, p, own, step, suffix, by[part], segment[part], span, stride))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(3))
+
+
+def _sorted_part(r, s, p, own, step, suffix, by, segment, span, stride):
+    order = merge_sorted(s, p, suffix[by], segment, span, stride)
     by, segment = by[order], segment[order]
     x = suffix[by]
-    beside = (segment[1:] == segment[:-1]) & (common_extension(p, x[1:], x[:-1], span) >= span)
+    beside = (segment[1:] == segment[:-1]) & (common_extension(p, x[1:], x[:-1], span, stride) >= span)
     # verification: bytes of neighbours that the hashes call equal
     at = np.flatnonzero(beside)
-    for part in np.array_split(at, max(1, len(at) // 50_000)):
+    for part in np.array_split(at, max(1, len(at) // 20_000)):
         if not (s[x[part][:, None] + np.arange(span)] == s[x[part + 1][:, None] + np.arange(span)]).all():
             return _by_bytes(r, s, own, step, x, by, segment, span)
     again = by[1:][beside]

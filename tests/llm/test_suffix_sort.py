@@ -18,7 +18,7 @@ def test_merge_sort_orders_like_sorted(data, most, segments):
     s = np.frombuffer(data, np.uint8)
     suffix = np.arange(len(s) - most)
     segment = np.sort(suffix % segments)
-    order = suffixes.merge_sorted(s, prefix(s), suffix, segment, most)
+    order = suffixes.merge_sorted(s, prefix(s), suffix, segment, most, len(s) + 1)
     for g in set(segment.tolist()):
         own = [int(suffix[i]) for i in range(len(suffix)) if segment[i] == g]
         got = [int(suffix[i]) for i in order[segment == g]]
@@ -30,7 +30,7 @@ def test_merge_sort_orders_like_sorted(data, most, segments):
 def test_common_extension(data):
     s = np.frombuffer(data, np.uint8)
     a, b = np.meshgrid(np.arange(len(s) - 10), np.arange(len(s) - 10))
-    got = suffixes.common_extension(prefix(s), a.ravel(), b.ravel(), 10)
+    got = suffixes.common_extension(prefix(s), a.ravel(), b.ravel(), 10, len(s) + 1)
     for i, j, n in zip(a.ravel(), b.ravel(), got):
         plain = next((k for k in range(10) if data[i + k] != data[j + k]), 10)
         assert n == plain
@@ -78,9 +78,10 @@ def test_whole_characters(spark):
 
 def test_different_windows_under_one_hash(spark, monkeypatch):
     """With a hash that says equal to everything, verification still removes nothing wrongly."""
-    monkeypatch.setattr(suffixes, "common_extension", lambda p, a, b, most: np.full(len(a), most))
+    monkeypatch.setattr(suffixes, "common_extension", lambda p, a, b, most, stride: np.full(len(a), most))
     r = np.zeros(3, suffixes.RECORD)
     r["doc"], r["wide"] = [1, 2, 3], 1
-    rows = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8).reshape(3, 100)
+    a, b = b"e" * 10 + b"a" * 80 + b"e" * 10, b"e" * 10 + b"b" * 80 + b"e" * 10
+    rows = np.frombuffer(a + b + a, np.uint8).reshape(3, 100)
     doc, start, end = suffixes._windows(r, rows, 100)
     assert doc.tolist() == [3] and (end - start).tolist() == [100]
