@@ -7,6 +7,7 @@ a small table of runs; each piece finds its run by its length and its number amo
 """
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -17,8 +18,9 @@ from lapforge.llm.common import bytes_of, free_name, numbered, stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 500_000
-IDS_PER_BATCH = 1 << 21
+CACHED_WORDS = 700_000
+WORDS_PER_CALL = 4096
+TEXT_BYTES = 1 << 21
 
 
 class Openings:
@@ -97,6 +99,24 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return out
 
 
+# Full stops and commas after a letter are tokens of their own, so a space before them changes nothing; neither does ASCII case.
+STOPS = re.compile(rb"(?<=[a-z])([.,]+)(?=\s|$)")
+# Words of Latin letters that are whole characters already, after lower-casing: nothing in them is normalised or split.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Parts of a text whose ids, one after the other, are the ids of the text."""
+    return STOPS.sub(rb" \1", text.lower()).split()
+
+
+def byte_letters() -> dict[int, str]:
+    """How the vocabulary writes the code points 0 .. 255 that stand for bytes: printable ones as they are, the others from 256 up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordIds(dict):
     """Ids of white-space separated words. The vocabulary drops white space and never joins across it."""
 
@@ -105,14 +125,33 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
-    def __missing__(self, word: bytes) -> tuple:
-        if len(self) > CACHED_WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        """Know the ids of words. Plain unknown ones go straight to the model, the others are encoded many at a time, with spaces between;
+        a token's offset tells its word."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-        ids = tuple(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+            new = list(words)
+        rest = []
+        for w in new:
+            text = w.decode("utf-8", "replace").lower()
+            if PLAIN.fullmatch(text):
+                letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+                self[w] = tuple([t.id for t in self.model.tokenize(letters)])
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), WORDS_PER_CALL):
+            part = [w.decode("utf-8", "replace") for w in rest[at:at + WORDS_PER_CALL]]
+            ends = np.cumsum([len(w) + 1 for w in part])
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, starts = found.ids, np.fromiter((x for x, _ in found.offsets), np.int64)
+            edges = np.searchsorted(starts, ends).tolist()
+            begin = 0
+            for w, end in zip(rest[at:at + WORDS_PER_CALL], edges):
+                self[w] = tuple(ids[begin:end])
+                begin = end
 
 
 _loaded: dict[str, WordIds] = {}
@@ -142,18 +181,22 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                                                pa.array(length, pa.int64()), ids, pa.array(crc, pa.int64())], names=schema.names)
 
         for batch in batches:
-            keys, rows, flat, held = batch.column(0), [], [], 0
-            for i, text in enumerate(bytes_of(batch, text_col)):
-                ids = np.fromiter(chain(chain.from_iterable(map(words.__getitem__, text.split())), (end_id,)), np.int32)
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start:start + capacity]
-                    rows.append((i, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
-                    flat.append(part)
-                held += len(ids)
-                if held > IDS_PER_BATCH:
-                    yield packed(rows, flat)
-                    rows, flat, held = [], [], 0
-            if rows:
+            keys, texts = batch.column(0), bytes_of(batch, text_col)
+            edges, held = [0], 0
+            for i, text in enumerate(texts):  # documents of about TEXT_BYTES at a time
+                held += len(text)
+                if held > TEXT_BYTES or i == len(texts) - 1:
+                    edges.append(i + 1)
+                    held = 0
+            for first, last in zip(edges, edges[1:]):
+                split, rows, flat = [words_of(t) for t in texts[first:last]], [], []
+                words.learn(set(chain.from_iterable(split)))
+                for i, own in enumerate(split, first):
+                    ids = np.fromiter(chain(chain.from_iterable(map(words.__getitem__, own)), (end_id,)), np.int32)
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start:start + capacity]
+                        rows.append((i, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                        flat.append(part)
                 yield packed(rows, flat)
 
     if not os.path.exists(tokenizer_path):
