@@ -198,16 +198,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = stored(named.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "n", "rep").distinct(), "classes")
     # one text and one band list per class: that of its smallest id (of rows that share that id, the first digest)
     reps = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("d")).select("rep", "d.d1", "d.d2")
-    alone = named.join(reps, (named["id"] == reps["rep"]) & (named["d1"] == reps["d1"]) & (named["d2"] == reps["d2"])).select("id", "n", "bands", "packed")
     bands = named.join(classes, ["d1", "d2"]).where("id = rep").select("id", "n", F.explode("bands").alias("band")).distinct()
     bands = stored(bands, "bands")
-    texts = stored(alone.select("id", "packed").dropDuplicates(["id"]), "texts")
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     centres = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     centres = stored(centres.select("band", F.col("c.id").alias("a"), F.col("c.n").alias("m")), "centres")
     crowded = bands.join(centres, "band")
+    # texts only of documents that share a band; whole rows are shuffled once
+    asked = reps.join(crowded.select(F.col("id").alias("rep")).distinct(), "rep").withColumnRenamed("rep", "id")
+    texts = stored(named.select("id", "d1", "d2", "bands", "packed").join(asked, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"]).drop("d1", "d2"), "texts")
     first = stored(crowded.where(fits & (F.col("id") > F.col("a"))).select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(verified(first, texts, words, percent), "links")
+    links = stored(verified(first, texts.select("id", "packed"), words, percent), "links")
     # rows that share an id tie their classes together
     shared = member.join(member.select("id", F.col("rep").alias("other")), "id").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     links = links.unionByName(shared)
@@ -218,7 +219,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = parts.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"),
                                        F.sum("count").alias("members"), F.max("count").alias("largest")).where("parts > 1")
     split = stored(placed.join(groups, "band").select("band", "id", "n", "component", "main", "members", "largest"), "split")
-    more = stored(across(split, alone.select("id", "bands", "packed").dropDuplicates(["id"]), words, percent), "links")
+    more = stored(across(split, texts, words, percent), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     found = stored(found, "components")
