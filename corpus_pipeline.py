@@ -2,31 +2,49 @@
 
 A stage is (name, function); the function takes (spark, documents, folder of the given tables) and returns a DataFrame,
 which is written as Parquet and read again for the next one. All but the last return the columns of documents.
+
+A stage begins by deleting what earlier operators of this application left in the shared folder, so what it returns is to
+be written before the next stage is called.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapforge.llm import minhash, mixing, packing, suffixes, toxicity
-from lapforge.llm.common import delete_folder, drop_stored, short_lived_shuffles, table
+from lapforge.llm.common import delete_folder, drop_stored, short_lived_shuffles, stored, table
 from lapforge.llm.queries import tokenizer
 from lapforge.session import fresh_path
 
 
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        drop_stored(spark)
+        return fn(spark, docs, folder)
+    return run_stage
+
+
+@stage
 def toxic_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     index = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.score(docs, index, docs.columns).where("predicted = 0").select(docs.columns)
 
 
+@stage
 def near_copies_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; rows without an id stay."""
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
-    met = docs.join(kept, docs["doc_id"] == kept["kept_id"])
-    once = met.where("n = 1").select(docs.columns)
-    repeated = met.where("n > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    kept = stored(kept, "kept")
+    out = docs.join(kept, docs["doc_id"] == kept["kept_id"])
+    if kept.where("n > 1").limit(1).count():  # only then do rows have to be told apart, which takes another shuffle of texts
+        out = out.where("n = 1").unionByName(out.where("n > 1").dropDuplicates(["doc_id"]))
+    return out.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+@stage
 def repeats_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """100-byte strings that occur earlier are cut out, in whole characters."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
@@ -34,11 +52,13 @@ def repeats_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixing.mixed_copies(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token sequences: pieces of documents with their ids, sequence and place in it."""
     return packing.pack_documents(docs, tokenizer())
@@ -59,13 +79,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages over the documents of folder. What a stage leaves behind is deleted when the next one's table is written."""
     docs, last = table(spark, folder, "documents"), None
-    for name, stage in STAGES:
+    for name, apply in STAGES:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
-        out = stage(spark, docs, folder)
+        out = apply(spark, docs, folder)
         with short_lived_shuffles(spark):
             out.write.parquet(path)
-        drop_stored(spark)
         if last:
             delete_folder(spark, last)
         docs, last = spark.read.schema(out.schema).parquet(path), path
+    drop_stored(spark)
     return docs
