@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, mixed, stored
+from lapforge.llm.common import bytes_of, mixed, stored, tidy
 from lapforge.llm.graph import components
 from lapforge.llm.hashing import shingle_set
 
@@ -98,7 +98,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
             if sets:
                 yield out(ids.slice(first, len(sets)), sets, packed)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(sign, schema)
+    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(tidy(sign), schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -124,7 +124,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
 
     # the side that repeats most (a band's smallest member) is joined last, so its set is made once for a run of pairs
     met = pairs.join(sides("b"), "b").join(sides("a"), "a").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(confirm, "a long, b long")
+    return met.mapInArrow(tidy(confirm), "a long, b long")
 
 
 def _meet(words: int, percent: int):

@@ -14,11 +14,11 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, free_name, numbered, stored
+from lapforge.llm.common import bytes_of, free_name, numbered, stored, tidy
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 400_000
 WORDS_PER_CALL = 4096
 TEXT_BYTES = 1 << 21
 
@@ -131,7 +131,7 @@ class WordIds(dict):
         """Know the ids of words. Plain unknown ones go straight to the model, the others are encoded many at a time, with spaces between;
         a token's offset tells its word."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:
+        if len(self) + len(new) > max(CACHED_WORDS, 2 * len(words)):
             self.clear()
             new = list(words)
         rest = []
@@ -198,10 +198,11 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                         rows.append((i, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
                         flat.append(part)
                 yield packed(rows, flat)
+        words.clear()  # the worker lives on; the tokenizer stays loaded, its words go
 
     if not os.path.exists(tokenizer_path):
         raise FileNotFoundError(tokenizer_path)
-    return df.select(id_col, text_col).mapInArrow(cut, schema)
+    return df.select(id_col, text_col).mapInArrow(tidy(cut), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None = None, chunk_rows: int = 20_000) -> DataFrame:

@@ -21,7 +21,7 @@ Every claim of equality is verified on bytes; hash collisions cost time, never a
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, mixed, stored
+from lapforge.llm.common import bytes_of, mixed, stored, tidy
 from lapforge.llm.hashing import CODES, powers, prefix, stretch
 
 SPAN, GRAM = 100, 40
@@ -531,13 +531,13 @@ def repeated_stretches(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crow
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS_PER_PARTITION * parts
-    scanned = docs.mapInArrow(_scan(span, gram, buckets), BLOBS)
+    scanned = docs.mapInArrow(tidy(_scan(span, gram, buckets)), BLOBS)
     news = stored(scanned.groupBy("bucket").applyInArrow(_repeating(span, crowd), "doc long, a long, b long"), "anchors")
     crowded = [r[0] for r in news.where("b = -2").select("a").distinct().limit(MOST_CROWDED).collect()]
     crowded = np.sort(np.array(crowded, np.int64).view(np.uint64))
     asked = news.where("b = -1").groupBy("doc").agg(F.collect_list("a").alias("asked"))
     told = docs.join(asked, "doc").select("doc", "text", "asked")
-    sent = told.mapInArrow(_send(span, gram, buckets, crowded), BLOBS)
+    sent = told.mapInArrow(tidy(_send(span, gram, buckets, crowded)), BLOBS)
     found = stored(sent.groupBy("bucket").applyInArrow(_sorted_out(span, gram), "doc long, a long, b long"), "stretches")
     both = found.unionByName(news.where("b >= 0"))
     longest = (1 << 24) - 1
@@ -592,4 +592,4 @@ def kept_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
                 yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind),
                                                   pa.array(kept, pa.binary())], names=schema.names)
 
-    return rows.join(cut, "doc", "left").mapInArrow(apply, schema).select("carried.*", "n_bytes", "n_removed", "spans", "kept")
+    return rows.join(cut, "doc", "left").mapInArrow(tidy(apply), schema).select("carried.*", "n_bytes", "n_removed", "spans", "kept")

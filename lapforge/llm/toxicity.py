@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lapforge.llm.common import free_name
+from lapforge.llm.common import free_name, tidy
 
 EXAMPLES = 20_000
 NEIGHBOURS = 15
@@ -22,7 +22,8 @@ BLOCK = 64
 PRIOR_VOTE = 1.0
 LEAST_EXAMPLES = 3
 PREFIXES = (4, 5)
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+COUNTED_TERMS = 100_000
 THRESHOLD = 0.7
 SPLITS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
@@ -218,16 +219,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def term_counts(batches):
         import pyarrow as pa
         counts: dict = {}
+
+        def out():
+            names, n = zip(*counts.items())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x[1] for x in n], pa.int64()), pa.array([x[0] for x in n], pa.int64())],
+                                              names=["term", "toxic", "clean"])
+
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 for w in {None, *chain.from_iterable(map(terms_of, set(words(text))))}:
                     counts.setdefault(w, [0, 0])[toxic] += 1
+                if len(counts) > COUNTED_TERMS:  # partial counts, summed below
+                    yield out()
         if counts:
-            names, n = zip(*counts.items())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x[1] for x in n], pa.int64()), pa.array([x[0] for x in n], pa.int64())],
-                                             names=["term", "toxic", "clean"])
+            yield out()
 
-    counts = sample.mapInArrow(term_counts, "term binary, toxic long, clean long").groupBy("term").agg(
+    counts = sample.mapInArrow(tidy(term_counts), "term binary, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.where(F.col("term").isNull() | (F.col("toxic") >= LEAST_EXAMPLES)).collect()
     total = next(((r["toxic"], r["clean"]) for r in counts if r["term"] is None), (0, 0))
@@ -250,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["k", "n"])
 
     # one row per term of the vocabulary, which the sample bounds
-    df = {r["k"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    df = {r["k"]: r["n"] for r in texts.select("text").mapInArrow(tidy(frequencies), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     n = df.get(len(chosen), 0)
     idf = np.array([math.log((n + 1) / (df.get(k, 0) + 1)) + 1 for k in range(len(chosen))])
 
@@ -306,4 +314,4 @@ def score(docs: DataFrame, index: Index, keep: list[str], text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores), pa.array([int(s >= threshold) for s in scores], pa.int32()),
                                               pa.array(near, kind)], names=[*keep, "score", "predicted", "evidence"])
 
-    return docs.select(*keep, F.col(text_col).alias(asked)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(asked)).mapInArrow(tidy(run), schema)
