@@ -54,8 +54,8 @@ def repeats_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 @stage
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    return mixing.mixed_copies(docs)
+    """Each document in whole copies, so that each source keeps the words that the mix takes from it."""
+    return mixing.mixed_documents(docs)
 
 
 @stage

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lapforge.llm.common import WORD, numbered, partitions_for, running, stored
+from lapforge.llm.common import WORD, free_name, numbered, partitions_for, running, stored
 from lapforge.session import lookup
 
 WEIGHTS = [5.0, 2.0, 1.0]
@@ -21,6 +21,7 @@ MOST = 2.0
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 ROUNDS = 16
+UNIT_BITS = 30
 SEED = 2024
 
 
@@ -153,3 +154,37 @@ def mixed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("mix_copies")).where("mix_copies > 0")
     met = df.join(copies, df[id_col].eqNullSafe(copies[key]) & df[source_col].eqNullSafe(copies[src]) & (word_count(df[text_col]) == copies[size]))
     return met.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*(df[c] for c in df.columns))
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """df with each document in whole copies, so many that each source keeps the words that the mix takes from it.
+
+    A source's documents stand in order of size, their taken / size are summed, and a document gets a copy for each whole
+    number (and a half) that the sum passes. So a source's words differ from those taken by at most its longest document (in a
+    source of over 200,000 documents, for each so many), and long documents are kept in the same proportion as short ones.
+    Documents without words are left out. Rows that share id, source and size share their copies out evenly.
+    """
+    documents, _ = mix(df, id_col, text_col, source_col, **options)
+    share = F.floor(F.col("taken") / F.col("size") * (1 << UNIT_BITS))
+    shares = stored(documents.where("size > 0").select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"),
+                                                       F.col("size").alias("mix_size"), "first_word", share.alias("share")), "shares")
+    placed = running(shares, ["mix_source"], [F.col("mix_size"), F.col("mix_id"), F.col("first_word")], F.xxhash64("mix_id", "first_word"),
+                     F.col("share"), "before")
+    passed = lambda x: F.shiftright(x + (1 << UNIT_BITS - 1), UNIT_BITS)
+    copies = placed.groupBy("mix_id", "mix_source", "mix_size").agg(
+        F.sum(passed(F.col("before") + F.col("share")) - passed(F.col("before"))).alias("mix_copies"), F.count("*").alias("mix_rows"))
+    copies = stored(copies.where("mix_copies > 0"), "copies")
+
+    def met(of: DataFrame) -> DataFrame:
+        return df.join(of, df[id_col].eqNullSafe(of["mix_id"]) & df[source_col].eqNullSafe(of["mix_source"]) & (word_count(df[text_col]) == of["mix_size"]))
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*df.columns)
+
+    out = repeated(met(copies.where("mix_rows = 1")), F.col("mix_copies"))
+    if copies.where("mix_rows > 1").limit(1).count():  # only then do rows have to be numbered, which takes another shuffle of texts
+        alike, nth = met(copies.where("mix_rows > 1")), free_name(df, "mix_nth")
+        alike = numbered(alike, ["mix_id", "mix_source", "mix_size"], [F.xxhash64(text_col)], F.xxhash64(text_col), nth)
+        each = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (F.col(nth) < F.col("mix_copies") % F.col("mix_rows")).cast("int")
+        out = out.unionByName(repeated(alike.withColumn("mix_copies", each).where("mix_copies > 0"), F.col("mix_copies")))
+    return out

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lapforge.llm.mixing import mix, mixed_copies, permuted, source_targets
+from lapforge.llm.mixing import mix, mixed_copies, mixed_documents, permuted, source_targets
 from lapforge.llm.sharding import shard_of, shard_records
 from helpers import frame, odd_texts
 
@@ -105,3 +105,21 @@ def test_copies_follow_the_mix(spark):
     copies = Counter(r["doc_id"] for r in out.collect())
     for r in mix(df, block_words=8)[0].collect():
         assert copies[r["doc_id"]] == (math.floor(r["taken"] / r["size"] + 0.5) if r["size"] else 0)
+
+
+@pytest.mark.parametrize("ratio", [0.3, 0.4, 0.8, 1.3])
+def test_the_mixing_stage_meets_its_targets(spark, ratio):
+    """Also for long documents over many blocks, whose taken / size are all close to the ratio of their source."""
+    sizes = [40 + 7 * k % 300 for k in range(120)] + [2000 + 97 * k % 1900 for k in range(90)]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(n)), f"s{i % 2}") for i, n in enumerate(sizes)]
+    rows += [(None, "no id here", "s0"), (None, "none as well", "s0"), (500, "a b c", "s1"), (500, "a b c", "s1"), (501, " ", "s1")]
+    df = frame(spark, rows)
+    out = mixed_documents(df, weights=[1.0], share=ratio)
+    assert out.columns == df.columns
+    got = [(len(r["text"].split()), r["source"]) for r in out.collect()]
+    target = {r["source"]: r["target"] for r in mix(df, weights=[1.0], share=ratio)[0].collect()}
+    for s in target:
+        assert abs(sum(n for n, x in got if x == s) - target[s]) <= max(sizes) + 128, (s, ratio)
+    long = sum(n for n in sizes if n >= 2000)
+    assert sum(n for n, _ in got if n >= 2000) == pytest.approx(ratio * long, rel=0.1)
+    assert mixed_documents(df.limit(0)).count() == 0
