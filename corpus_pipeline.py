@@ -61,7 +61,7 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 @stage
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token sequences: pieces of documents with their ids, sequence and place in it."""
-    return packing.pack_documents(docs, tokenizer())
+    return packing.pack_documents(docs, tokenizer(), special_tokens=True)
 
 
 STAGES = [

@@ -110,6 +110,13 @@ def words_of(text: bytes) -> list[bytes]:
     return STOPS.sub(rb" \1", text.lower()).split()
 
 
+def parts_of(text: bytes, special: dict[bytes, int], cut: re.Pattern | None) -> list[bytes | int]:
+    """words_of a text cut at the exact literals of special tokens, which stand as their ids. Those match as written, inside words too."""
+    if cut is None or not cut.search(text):
+        return words_of(text)
+    return list(chain.from_iterable([special[x]] if k % 2 else words_of(x) for k, x in enumerate(cut.split(text))))
+
+
 def byte_letters() -> dict[int, str]:
     """How the vocabulary writes the code points 0 .. 255 that stand for bytes: printable ones as they are, the others from 256 up."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -118,15 +125,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids of white-space separated words. The vocabulary drops white space and never joins across it."""
+    """Ids of white-space separated words; a number is a special token's id. The vocabulary drops white space and never joins across it."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # texts are cut at the literals before; a word that lower-cases to one is not one
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {k: added[k] for k in sorted(added, key=len, reverse=True)}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if self.special else None
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
+    def __missing__(self, number: int) -> tuple[int]:
+        return (number,)
+
     def learn(self, words: set[bytes]) -> None:
         """Know the ids of words. Plain unknown ones go straight to the model, the others are encoded many at a time, with spaces between;
         a token's offset tells its word."""
@@ -158,11 +171,12 @@ _loaded: dict[str, WordIds] = {}
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                 end_id: int = END_ID) -> DataFrame:
+                 end_id: int = END_ID, special_tokens: bool = False) -> DataFrame:
     """Pieces (id_col, piece, start, length, ids, ids_crc32) of every whole text's ids and end_id.
 
     Only documents of more than capacity ids are cut, each cut after capacity ids. Null or empty text: one piece with
-    end_id. ids_crc32 is the checksum of the ids as little-endian unsigned 32-bit numbers.
+    end_id. ids_crc32 is the checksum of the ids as little-endian unsigned 32-bit numbers. With special_tokens, a special
+    token's literal in a text is that token, as for the tokenizer by itself; without, it is text like any other.
     """
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -172,6 +186,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def cut(batches):
         import pyarrow as pa
         words = _loaded.get(tokenizer_path) or _loaded.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        cut_at = words.cut if special_tokens else None
 
         def packed(rows, flat):
             at, piece, start, length, crc = zip(*rows)
@@ -189,8 +204,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                     edges.append(i + 1)
                     held = 0
             for first, last in zip(edges, edges[1:]):
-                split, rows, flat = [words_of(t) for t in texts[first:last]], [], []
-                words.learn(set(chain.from_iterable(split)))
+                split, rows, flat = [parts_of(t, words.special, cut_at) for t in texts[first:last]], [], []
+                words.learn(set(chain.from_iterable(split)) - {*words.special.values()})
                 for i, own in enumerate(split, first):
                     ids = np.fromiter(chain(chain.from_iterable(map(words.__getitem__, own)), (end_id,)), np.int32)
                     for piece, start in enumerate(range(0, len(ids), capacity)):
@@ -230,7 +245,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                   end_id: int = END_ID) -> DataFrame:
+                   end_id: int = END_ID, special_tokens: bool = False) -> DataFrame:
     """Tokenize whole texts and pack the pieces: id_col, piece, start, length, ids, ids_crc32, sequence_id, offset."""
-    pieces = stored(token_pieces(df, tokenizer_path, id_col, text_col, capacity, end_id), "pieces")
+    pieces = stored(token_pieces(df, tokenizer_path, id_col, text_col, capacity, end_id, special_tokens), "pieces")
     return pack(pieces, capacity, order=[id_col, "piece", "ids_crc32"])

@@ -95,7 +95,7 @@ def op3_rendezvous_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer()).drop("ids")
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer(), special_tokens=True).drop("ids")
 
 
 @query

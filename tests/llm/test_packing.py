@@ -78,3 +78,21 @@ def test_tokens_of_whole_texts(spark):
     assert pack_documents(df.limit(0), tokenizer()).count() == 0
     with pytest.raises(FileNotFoundError):
         token_pieces(df, "/nowhere.json")
+
+
+def test_special_tokens_are_those_of_the_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from lapforge.llm.queries import QUERIES
+    t = Tokenizer.from_file(tokenizer())
+    texts = ["hello <|endoftext|> world<|startoftext|>", "a<|ENDOFTEXT|>b<|endoftext|>.c <|startoftext|><|endoftext|>", "é<|endoftext|>\u0301 x",
+             "x,<|endoftext|>,y.<|endoftext|>'s", "<|endoftext|>", "<|endof<|endoftext|>text|> <| endoftext|>", *(x for _, x, _ in odd_texts()), "plain words."]
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
+    assert want[0] == [3306, 49407, 1002, 49406, 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in token_pieces(df, tokenizer(), special_tokens=True).orderBy("doc_id", "piece").collect():
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == want
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    crc = {r["doc_id"]: r["ids_crc32"] for r in QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).where("piece = 0").collect()}
+    assert crc == {i: zlib.crc32(np.array(ids[:4096], "<u4").tobytes()) for i, ids in want.items()}
