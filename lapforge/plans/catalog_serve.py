@@ -514,18 +514,18 @@ def prepared_features(s):
 
 @query("random_forest_importance")
 def _(s):
-    model = models.fit(prepared_features(s).where("is_train"), "random_forest", numTrees=10, maxDepth=6)
+    model = models.fit(prepared_features(s).where("is_train"), "random_forest")
     return models.feature_importance(s.spark, model, K.MODEL_FEATURES, 20)
 
 
 @query("train_run_record")
-def _(s): return models.train_run(prepared_features(s), "random_forest", folds=2, numTrees=5, maxDepth=5).record
+def _(s): return models.train_run(prepared_features(s), "random_forest").record
 
 
 @query("boosted_trees_scores")
 def _(s):
     df = prepared_features(s)
-    model = models.fit(df.where("is_train"), "boosted_trees", maxIter=5, maxDepth=4)
+    model = models.fit(df.where("is_train"), "boosted_trees")
     ok, _ = serve.split_requests(s.view(REQUESTS))
     enriched = serve.enrich_requests(ok, serve.serving_tables(facts(s)))
     return models.score(enriched, model).select("request_id", "lap_duration_seconds", "lap_duration_formatted")
@@ -533,8 +533,7 @@ def _(s):
 
 @query("grid_search_points")
 def _(s):
-    grid = {"numTrees": [3, 5], "maxDepth": [3, 5]}
-    return models.grid_search(prepared_features(s).where("is_train"), "random_forest", grid=grid, folds=2)[1].select("point", "mean_mae", "std_mae")
+    return models.grid_search(prepared_features(s).where("is_train"), "random_forest", **K.FIXED["random_forest"])[1].select("point", "mean_mae", "std_mae")
 
 
 # ---- monitoring ---------------------------------------------------------------------------------

@@ -173,3 +173,34 @@ def test_conform_and_missing(spark):
     with pytest.raises(shape.MissingColumns):
         shape.conform(df, ["a"], required=["z"])
     assert shape.columns_missing(df, ["a", "q"]) == ["q"]
+
+
+@pytest.mark.parametrize("name, called, family", [
+    ("random_forest_importance", "fit", "random_forest"), ("boosted_trees_scores", "fit", "boosted_trees"),
+    ("train_run_record", "train_run", "random_forest"), ("grid_search_points", "grid_search", "random_forest")])
+def test_registered_model_queries_use_the_published_settings(spark, monkeypatch, name, called, family):
+    """What each hands to training, without training."""
+    import inspect
+    from lapforge.plans.registry import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    shape = inspect.signature(getattr(models, called))
+
+    def see(*args, **settings):
+        given = shape.bind(*args, **settings)
+        given.apply_defaults()
+        raise Seen(given.arguments)
+
+    monkeypatch.setattr(models, called, see)
+    with pytest.raises(Seen) as seen:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    given = seen.value.args[0]
+    assert given["family"] == family
+    if called == "grid_search":
+        assert (given["grid"] or K.GRID[family]) == K.GRID[family] and given["folds"] == K.GRID_FOLDS == 3
+        assert given.get("fixed", {}) == K.FIXED[family]
+    else:
+        assert (given.get("params") or K.BASELINE[family]) == K.BASELINE[family]
+        assert given.get("folds", K.CV_FOLDS) == K.CV_FOLDS == 5
