@@ -30,8 +30,8 @@ def unmapped_circuits(laps: DataFrame, mapping: DataFrame) -> DataFrame:
 def attach_weather(laps: DataFrame, mapping: DataFrame, hours: DataFrame) -> DataFrame:
     """Laps of mapped circuits, left-joined to the station's hour.
 
-    hours is first cut to the stations in use, which prunes station partitions at the scan and
-    usually leaves a table small enough to spare the laps a shuffle; lookup measures it.
+    hours is first cut to the stations in use; every hour is read for that. It usually leaves a table
+    small enough to spare the laps a shuffle; lookup measures it.
     """
     require(laps, ["circuit_key", "lap_hour_utc"])
     mapping = lookup(mapping.select("circuit_key", URL, "station_id"))
