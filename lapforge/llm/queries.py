@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapforge.llm import merkle, minhash, mixing, packing, sharding, suffixes, topk, toxicity, urls, warc
+from lapforge.llm import merkle, minhash, mixing, packing, sharding, suffixes, tokens, topk, toxicity, urls, warc
 from lapforge.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -143,6 +143,12 @@ def op10_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+@query
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = tokens.token_counts(table(spark, folder, "documents"), tokenizer())
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"), "n_pretokens", "n_whole")
+
+
 # The three trees of a document (its own, that of its edited text, that of the next one) as rows, then side by side.
 ORACLES["op8_merkle_fingerprints"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
