@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapforge.llm import merkle, minhash, mixing, packing, sharding, suffixes, tokens, topk, toxicity, urls, warc
+from lapforge.llm import merkle, minhash, mixing, packing, sharding, spelling, suffixes, tokens, topk, toxicity, urls, warc
 from lapforge.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -143,6 +143,18 @@ def op10_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def misspelt(doc_id, run):
+    """One run in 199, by a checksum of document and run, loses a letter."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), reading=misspelt))
+
+
 @query
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = tokens.token_counts(table(spark, folder, "documents"), tokenizer())
@@ -171,6 +183,29 @@ FROM e JOIN f o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN f c ON c.doc_id =
 """
 
 
+# CRC-32 bit by bit over the bytes of a text of code points below 2048.
+CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(flatten(list_transform(string_split({x}, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END)), lambda b: [b::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384::UBIGINT * (xor(c, b) & 1::UBIGINT))))"""
+
+# Near words: a letter less is the other word, or both lose a letter at the same place and are equal then.
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT id, run, id || ':' || run AS x, count(*) AS c FROM r GROUP BY 1, 2),
+h AS (SELECT run, c, {CRC32.format(x="x")} AS h FROM g),
+t AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM t WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+d AS (SELECT word, i, left(word, i - 1) || substring(word, i + 1) AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON d.s = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.s = w.word),
+b AS (SELECT a AS word, count(*) AS n_near, max(w.n) AS most, arg_min(b, {{'n': -w.n, 'b': encode(b)}}) AS form FROM e JOIN w ON w.word = e.b GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN form END AS form, CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM w LEFT JOIN b USING (word)),
+p AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT p.word, f.word, f.form FROM p JOIN f ON f.word = p.next)
+SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.word = f.word AND p.next IS NULL
+"""
+
+
 ORACLES["op6_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages), m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
