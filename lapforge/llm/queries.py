@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapforge.llm import merkle, minhash, mixing, packing, sharding, spelling, suffixes, tokens, topk, toxicity, urls, warc
+from lapforge.llm import manifest, merkle, minhash, mixing, packing, sharding, spelling, suffixes, tokens, topk, toxicity, urls, warc
 from lapforge.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -161,6 +161,16 @@ def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"), "n_pretokens", "n_whole")
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    def leaf(n_chars):
+        return manifest.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    n, tampered = F.col("n_chars"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = manifest.manifest(table(spark, folder, "documents"), "doc_id", "lang", leaf(n), F.when(tampered & n.isNotNull(), leaf(n + 1)))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 # The three trees of a document (its own, that of its edited text, that of the next one) as rows, then side by side.
 ORACLES["op8_merkle_fingerprints"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -206,6 +216,27 @@ SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.
 """
 
 
+# Levels of the groups' trees (t) and of the tree over them (u), then each leaf's siblings and the way up of its claim (c, k).
+_FIELDS = "concat({})".format(", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{n}", "text")))
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_FIELDS.replace("{n}", "n_chars")}) AS leaf,
+    sha256({_FIELDS.replace("{n}", "(n_chars + CASE WHEN " + CRC32.format(x="CAST(doc_id AS VARCHAR)") + " % 7 = 0 THEN 1 ELSE 0 END)")}) AS claimed FROM documents),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT g, 0 AS level, i, n, leaf AS h FROM l UNION ALL
+  SELECT g, level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(lead(h) OVER (PARTITION BY g ORDER BY i), '')) FROM t WHERE n > 1 QUALIFY i % 2 = 0),
+tops AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, subroot AS h FROM tops UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(lead(h) OVER (ORDER BY i), '')) FROM u WHERE n > 1 QUALIFY i % 2 = 0),
+c AS (SELECT g, i, 0 AS level, n, claimed AS h, '' AS proof FROM l UNION ALL
+  SELECT c.g, c.i, c.level + 1, (c.n + 1) // 2, sha256(CASE WHEN (c.i >> c.level) % 2 = 1 THEN t.h || c.h ELSE c.h || coalesce(t.h, '') END), proof || coalesce(t.h, '')
+  FROM c LEFT JOIN t ON t.g = c.g AND t.level = c.level AND t.i = xor(c.i >> c.level, 1) WHERE c.n > 1),
+k AS (SELECT c.g, c.i, tops.i AS at, 0 AS level, tops.n, c.h, c.proof FROM c JOIN tops ON tops.g = c.g WHERE c.n = 1 UNION ALL
+  SELECT k.g, k.i, k.at, k.level + 1, (k.n + 1) // 2, sha256(CASE WHEN (k.at >> k.level) % 2 = 1 THEN u.h || k.h ELSE k.h || coalesce(u.h, '') END), proof || coalesce(u.h, '')
+  FROM k LEFT JOIN u ON u.level = k.level AND u.i = xor(k.at >> k.level, 1) WHERE k.n > 1)
+SELECT l.doc_id, l.leaf, tops.subroot, u.h AS root, sha256(k.proof) AS proof_sha256, k.h AS folded_root, k.h = u.h AS verified
+FROM l JOIN k ON k.g = l.g AND k.i = l.i AND k.n = 1 JOIN tops ON tops.g = l.g JOIN u ON u.n = 1
+"""
+
 ORACLES["op6_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages), m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
