@@ -21,7 +21,7 @@ from lapforge.operators.quality import all_passed
 from lapforge.operators.shape import limit_sessions, union_named
 from lapforge.plans import pipeline
 from lapforge.session import build_session
-from lapforge.sources import landing, pages, sinks
+from lapforge.sources import landing, pages, sinks, star_store, weather_store
 
 YEARS = [2023, 2024, 2025]
 PLACE = ["year", "meeting_key", "session_key", "driver_number", "lap_number"]
@@ -37,23 +37,30 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def landed(spark: SparkSession, folder: str, fmt: str, years: list[int], limit: int = 0) -> pipeline.Inputs:
-    """Inputs as the landing step leaves them under one folder."""
+def weather_hours(spark: SparkSession, landing_folder: str, path: str, force: bool = False) -> DataFrame:
+    """The landed weather as stored hours: files are parsed once, later runs read the folders they need."""
+    if force or not exists(spark, path):
+        weather_store.write_hours(landing.station_hours(spark, f"{landing_folder}/weather/*"), path)
+    return weather_store.stored_hours(spark, path)
+
+
+def landed(spark: SparkSession, folder: str, fmt: str, years: list[int], hours: DataFrame, limit: int = 0) -> pipeline.Inputs:
+    """Inputs as the landing step leaves them under one folder, with the stored hours."""
     sessions = landing.sessions_for_years(landing.session_records(spark, f"{folder}/sessions"), years)
     raw = landing.read_session_files(spark, f"{folder}/laps", fmt) if fmt != "json" else \
         spark.read.schema(schemas.LAP_RECORDS).option("multiLine", True).json(f"{folder}/laps")
     laps = limit_sessions(landing.type_laps(raw, sessions), limit)
     urls = spark.read.option("header", True).csv(f"{folder}/circuit_urls")
     stations = spark.read.option("header", True).csv(f"{folder}/circuit_stations")
-    return pipeline.Inputs(sessions, laps, landing.driver_records(spark, f"{folder}/drivers", sessions), urls, stations,
-                           landing.station_hours(spark, f"{folder}/weather/*"))
+    return pipeline.Inputs(sessions, laps, landing.driver_records(spark, f"{folder}/drivers", sessions), urls, stations, hours)
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     dataset_path, star_path = f"{a.out}/dataset", f"{a.out}/star"
     if not a.verify_only and (a.force or not exists(spark, dataset_path)):
         rules = CleanRules(not a.no_quantiles, a.q_low, a.q_high, min_lap_s=a.min_lap_s, max_lap_s=a.max_lap_s)
-        given = landed(spark, a.landing, a.format, a.years, a.limit_sessions)
+        hours = weather_hours(spark, a.landing, f"{a.out}/weather_hours", a.force)
+        given = landed(spark, a.landing, a.format, a.years, hours, a.limit_sessions)
         result = pipeline.run(given, a.years, a.session_type, rules, a.strict, frozen=True)
         sinks.write_step(result.dataset.orderBy(*SORT_COLS), dataset_path, partition_by=["year"])
         sinks.write_step(result.summary, f"{a.out}/summary")
@@ -67,7 +74,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if not a.verify_only and not a.skip_load and (a.force or not exists(spark, f"{star_path}/fact_laps")):
         stored = pipeline.Result(read("scope"), read("dataset"), read("summary"), {})
         tables = pipeline.load_star(stored.dataset, stored.scope, pipeline.latest_drivers(read("drivers")))
-        sinks.write_star(tables, star_path, "append" if a.append else "overwrite")
+        star_store.write(tables, star_path, "append" if a.append else "overwrite")
     if a.skip_load:
         return 0
     landing.register_star(spark, star_path)

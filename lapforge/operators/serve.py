@@ -58,7 +58,8 @@ class Page:
         return -(-self.total // self.page_size)
 
 
-def _content(df: DataFrame, first: list[str]) -> list[str]:
+def content_order(df: DataFrame, first: list[str]) -> list[str]:
+    """first, then all other columns: a total order up to equal rows."""
     return first + [c for c in df.columns if c not in first]
 
 
@@ -73,7 +74,7 @@ def laps_page(facts: DataFrame, page: int = 1, page_size: int = 100, **filters)
         raise ValueError("page starts at 1")
     size = _limit(page_size, K.MAX_PAGE_SIZE)
     found = filter_laps(facts, **filters)
-    data = found.orderBy(*_content(found, PAGE_ORDER)).offset((page - 1) * size).limit(size)
+    data = found.orderBy(*content_order(found, PAGE_ORDER)).offset((page - 1) * size).limit(size)
     return Page(data, found, page, size)
 
 
@@ -92,20 +93,20 @@ def laps_after(facts: DataFrame, last: tuple[int, int, int] | None, page_size: i
         s, d, n = (F.lit(int(v)) for v in last)
         sk, dn, ln = (F.col(c) for c in PAGE_ORDER)
         found = found.where((sk > s) | ((sk == s) & ((dn > d) | ((dn == d) & (ln > n)))))
-    return found.orderBy(*_content(found, PAGE_ORDER)).limit(_limit(page_size, K.MAX_PAGE_SIZE))
+    return found.orderBy(*content_order(found, PAGE_ORDER)).limit(_limit(page_size, K.MAX_PAGE_SIZE))
 
 
 def driver_laps(facts: DataFrame, driver_number: int, year=None, limit: int = 100) -> DataFrame:
     """Latest session first, laps in order."""
     found = filter_laps(facts, year=year, driver_number=driver_number)
-    order = [F.col("session_key").desc(), *_content(found, ["lap_number", "session_key"])]
+    order = [F.col("session_key").desc(), *content_order(found, ["lap_number", "session_key"])]
     return found.orderBy(*order).limit(_limit(limit, K.MAX_LAP_LIMIT))
 
 
 def circuit_laps(facts: DataFrame, circuit_key: int, year=None, limit: int = 100) -> DataFrame:
     """Fastest first."""
     found = filter_laps(facts, year=year, circuit_key=circuit_key)
-    return found.orderBy(*_content(found, [K.TARGET])).limit(_limit(limit, K.MAX_LAP_LIMIT))
+    return found.orderBy(*content_order(found, [K.TARGET])).limit(_limit(limit, K.MAX_LAP_LIMIT))
 
 
 def dataset_stats(facts: DataFrame, circuits: DataFrame, drivers: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -125,7 +126,11 @@ def circuit_averages(facts: DataFrame) -> DataFrame:
 
 def circuit_average_display(facts: DataFrame) -> DataFrame:
     """Mean lap per circuit, rounded and as m:ss.mmm."""
-    return circuit_averages(facts).where("circuit_avg IS NOT NULL").select(
+    return display_averages(circuit_averages(facts))
+
+
+def display_averages(averages: DataFrame) -> DataFrame:
+    return averages.where("circuit_avg IS NOT NULL").select(
         "circuit_key", F.round("circuit_avg", 3).alias("avg_laptime_seconds"),
         format_lap_time("circuit_avg").alias("avg_laptime_formatted"))
 
@@ -165,6 +170,11 @@ def serving_tables(facts: DataFrame) -> ServingTables:
     base = freeze(facts.groupBy("circuit_key", "session_key", "driver_number").agg(
         F.sum(F.col(K.TARGET).cast("double")).alias("total"), F.count(K.TARGET).alias("n"),
         F.max("lap_number").alias("max_lap")))
+    return serving_tables_from(base)
+
+
+def serving_tables_from(base: DataFrame) -> ServingTables:
+    """The lookups from (circuit_key, session_key, driver_number, total, n, max_lap)."""
     mean = F.sum("total") / F.nullif(F.sum("n"), F.lit(0))
     per_session = base.groupBy("circuit_key", "session_key").agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("max_lap").alias("max_lap"))
@@ -225,7 +235,7 @@ def driver_profiles(facts: DataFrame, laps: int = K.PROFILE_LAPS) -> DataFrame:
     """Means over each driver's latest laps, with defaults for what is missing. Only `laps` rows per
     driver and task reach the shuffle."""
     cols = list(K.DEFAULT_PROFILE)
-    order = [F.col("session_key").desc(), *_content(facts.select(*K.LAP_PAGE_COLS), ["lap_number", "session_key"])]
+    order = [F.col("session_key").desc(), *content_order(facts.select(*K.LAP_PAGE_COLS), ["lap_number", "session_key"])]
     latest = top_per_key(facts.select(*K.LAP_PAGE_COLS), ["driver_number"], order, laps)
     names = {K.TARGET: "avg_laptime", **{c: f"avg_{c}" for c in cols if c != K.TARGET}}
     return latest.groupBy("driver_number").agg(*[

@@ -7,6 +7,7 @@ from lapforge.functions.text import page_id
 from lapforge.operators.shape import any_present, first_per_key, require
 from lapforge.session import lookup
 from lapforge.sources.landing import one_row_per_hour
+from lapforge.sources.weather_store import hours_in_use, is_stored
 
 URL = "wikipedia_circuit_url"
 
@@ -27,19 +28,28 @@ def unmapped_circuits(laps: DataFrame, mapping: DataFrame) -> DataFrame:
     return laps.select("circuit_key").distinct().join(mapping, "circuit_key", "left_anti")
 
 
+def needed_hours(laps: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The (station_id, year) pairs that laps ask weather of: a few rows per circuit."""
+    years = laps.where("lap_hour_utc IS NOT NULL").select("circuit_key", F.year("lap_hour_utc").alias("year")).distinct()
+    return years.join(mapping.select("circuit_key", "station_id"), "circuit_key").select("station_id", "year").distinct()
+
+
 def attach_weather(laps: DataFrame, mapping: DataFrame, hours: DataFrame) -> DataFrame:
     """Laps of mapped circuits, left-joined to the station's hour.
 
-    hours is first cut to the stations in use; every hour is read for that. It usually leaves a table
-    small enough to spare the laps a shuffle; lookup measures it.
+    Stored hours (weather_store) are read by the folders that the laps' circuits and years need. Hours of another form are
+    read whole, cut to the stations in use, and brought to one row per hour. Either usually leaves a table small enough to
+    spare the laps a shuffle; lookup measures it.
     """
     require(laps, ["circuit_key", "lap_hour_utc"])
     mapping = lookup(mapping.select("circuit_key", URL, "station_id"))
-    wanted = mapping.select("station_id").distinct()
     present = [c for c in WEATHER_COLS if c in hours.columns]
-    used = lookup(one_row_per_hour(
-        hours.select("station_id", "weather_hour_utc", *present).join(wanted, "station_id", "left_semi")).select(
-        "station_id", F.col("weather_hour_utc").alias("lap_hour_utc"), "weather_hour_utc", *present))
+    if is_stored(hours):
+        used = hours_in_use(hours, lookup(needed_hours(laps, mapping)))
+    else:
+        wanted = mapping.select("station_id").distinct()
+        used = one_row_per_hour(hours.select("station_id", "weather_hour_utc", *present).join(wanted, "station_id", "left_semi"))
+    used = lookup(used.select("station_id", F.col("weather_hour_utc").alias("lap_hour_utc"), "weather_hour_utc", *present))
     located = laps.join(mapping, "circuit_key")
     joined = located.join(used, ["station_id", "lap_hour_utc"], "left")
     for c in set(WEATHER_COLS) - set(present):
@@ -72,7 +82,8 @@ def failed_sessions(laps: DataFrame, mapping: DataFrame, hours: DataFrame | None
         return gaps
     needed = laps.where("lap_hour_utc IS NOT NULL").select(
         "session_key", "circuit_key", F.year("lap_hour_utc").alias("_year")).distinct()
-    have = hours.select("station_id", F.year("weather_hour_utc").alias("_year")).distinct()
+    year = F.col("year") if is_stored(hours) else F.year("weather_hour_utc")
+    have = hours.select("station_id", year.alias("_year")).distinct()
     lacking = needed.join(mapping.select("circuit_key", "station_id"), "circuit_key").join(
         have, ["station_id", "_year"], "left_anti").groupBy("session_key").agg(
         F.concat(F.lit("no weather for "), F.array_join(F.array_sort(F.collect_set(F.col("_year").cast("string"))), ","))

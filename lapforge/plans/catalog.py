@@ -101,7 +101,7 @@ MAPPING = ("mapping", """SELECT circuit_key, u.wikipedia_circuit_url, station_id
 URLS = ("urls", S.CIRCUIT_URLS)
 URL_STATIONS = ("stations_u", S.URL_STATIONS)
 JOINED = ("joined", """SELECT c.*, m.station_id, m.wikipedia_circuit_url, w.temp, w.rhum, w.pres, w.wspd, w.wdir, w.prcp, w.cldc,
-  w.temp IS NULL AND w.rhum IS NULL AND w.pres IS NULL AND w.prcp IS NULL AS no_weather
+  coalesce(w.temp, w.rhum, w.pres, w.wspd, w.wdir, w.prcp, w.cldc) IS NULL AS no_weather
   FROM ctx c JOIN mapping m ON c.circuit_key = m.circuit_key
   LEFT JOIN wx_v w ON w.station_id = m.station_id AND w.weather_hour_utc = c.lap_hour_utc""")
 PIPE = [LAPS, SESSIONS_TWICE, WEATHER, URLS, URL_STATIONS, RULE0, BOUNDS, LABELLED, CLEAN, SCOPE, CTX, MAPPING, JOINED]

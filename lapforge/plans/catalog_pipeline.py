@@ -8,6 +8,7 @@ from lapforge.plans import pipeline, shapes as S
 from lapforge.plans.catalog import (BOUNDS, CLEAN, CTX, DIM_CIRCUITS, DIM_DRIVERS, DIM_SESSIONS, DRIVERS_V, FACTS, FACTS_V, JOINED,
                                     LABELLED, LAPS, MAPPING, ORDER, PIPE, RULE0, SCOPE, SESSIONS, SESSIONS_TWICE, URL_STATIONS,
                                     URLS, WEATHER, cols, ctes, query, r, rounded, t)
+from lapforge.session import lookup
 from lapforge.sources import landing, pages, sinks
 
 # ---- sources ------------------------------------------------------------------------------------
@@ -307,13 +308,23 @@ JOIN_PARTS = [LAPS, SESSIONS_TWICE, WEATHER, URLS, URL_STATIONS, CLEAN_ALL, SCOP
 
 def weather_joined(s):
     laps = context.add_context(s.laps, scope.build_scope(s.sessions_twice))
-    return weather.attach_weather(laps, weather.circuit_stations(s.circuit_urls, s.url_stations), s.weather)
+    return weather.attach_weather(laps, weather.circuit_stations(s.circuit_urls, s.url_stations), s.stored_hours)
 
 
 @query("laps_with_weather", ctes(*JOIN_PARTS) + f"""SELECT {cols(KEPT)}, station_id, {t("lap_hour_utc", "lap_hour_utc")},
-  {cols(["temp", "rhum", "pres", "prcp"], r)} FROM joined WHERE NOT no_weather""")
+  {cols(K.WEATHER_COLS, r)} FROM joined WHERE NOT no_weather""")
 def _(s):
-    return weather.with_weather_only(weather_joined(s)).select(*KEPT, "station_id", "lap_hour_utc", "temp", "rhum", "pres", "prcp")
+    return weather.with_weather_only(weather_joined(s)).select(*KEPT, "station_id", "lap_hour_utc", *K.WEATHER_COLS)
+
+
+@query("hours_in_use", ctes(*JOIN_PARTS) + f"""SELECT station_id, year, count(*) AS n, {r("avg(temp)", "temp")}, {r("max(wspd)", "wspd")} FROM (
+  SELECT *, CAST(year(weather_hour_utc) AS INTEGER) AS year FROM wx_v) w WHERE (station_id, year) IN (SELECT DISTINCT station_id, year(lap_hour_utc) FROM joined)
+  GROUP BY 1, 2""")
+def _(s):
+    laps = context.add_context(s.laps, scope.build_scope(s.sessions_twice))
+    wanted = weather.needed_hours(laps, weather.circuit_stations(s.circuit_urls, s.url_stations))
+    return weather.hours_in_use(s.stored_hours, lookup(wanted)).groupBy("station_id", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("temp").alias("temp"), F.max("wspd").alias("wspd"))
 
 
 @query("weather_report", ctes(*JOIN_PARTS) + """SELECT session_key, count(*) AS n_in, count(CASE WHEN NOT no_weather THEN 1 END) AS n_out,
@@ -349,7 +360,9 @@ def dataset_query(s): return pipeline.run(inputs(s)).dataset
 
 @query("dataset_summary", ctes(*PIPE, ("d", "SELECT *, count(*) OVER (PARTITION BY ctx_meeting, session_key, driver_number, lap_number) AS c FROM joined WHERE NOT no_weather")) + """
 SELECT count(*) AS n_rows, CAST(30 AS BIGINT) AS n_cols, count(*) - count(DISTINCT (ctx_meeting, session_key, driver_number, lap_number)) AS n_duplicates_key,
-  count(*) - count(lap_duration) AS missing_target, count(*) AS missing_weather_any, CAST(0 AS BIGINT) AS missing_weather_all FROM d""")
+  count(*) - count(lap_duration) AS missing_target, 
+  count(CASE WHEN temp IS NULL OR rhum IS NULL OR pres IS NULL OR wspd IS NULL OR wdir IS NULL OR prcp IS NULL OR cldc IS NULL THEN 1 END) AS missing_weather_any,
+  count(CASE WHEN no_weather THEN 1 END) AS missing_weather_all FROM d""")
 def _(s): return pipeline.run(inputs(s)).summary
 
 

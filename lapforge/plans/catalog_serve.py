@@ -6,12 +6,11 @@ from lapforge import constants as K
 from lapforge.functions import geo, text, timing
 from lapforge.operators import drift, features, match, models, ordered, runs, serve, star, stations
 from lapforge.plans import shapes as S
-from lapforge.plans.catalog import (DIM_CIRCUITS, DIM_DRIVERS, DRIVERS_V, EVENTS, FACTS, FACTS_V, LAPS, ORDER, SESSIONS, SESSIONS_TWICE,
+from lapforge.plans.catalog import (DIM_CIRCUITS, DIM_DRIVERS, DRIVERS_V, EVENTS, FACTS, FACTS_V, LAPS, ORDER, SCOPE, SESSIONS, SESSIONS_TWICE,
                                     cols, ctes, query, r, rounded, t)
-from lapforge.plans.catalog_pipeline import facts
 from lapforge.operators.shape import union_named
 from lapforge.session import freeze
-from lapforge.sources import stream
+from lapforge.sources import star_store, stream
 from lapforge.streaming import rules
 
 FACT_PARTS = [FACTS_V, FACTS]
@@ -22,20 +21,20 @@ LAP = "CAST(lap_duration AS DOUBLE)"
 # ---- point queries, lists, pages ----------------------------------------------------------------
 
 @query("list_circuits", ctes(SESSIONS_TWICE, DIM_CIRCUITS) + "SELECT circuit_key, circuit_short_name, location, country_name, country_code FROM dim_circuits")
-def _(s): return serve.list_circuits(star.dim_circuits(s.sessions_twice))
+def _(s): return serve.list_circuits(s.star.circuits)
 
 
 @query("get_circuit", ctes(SESSIONS_TWICE, DIM_CIRCUITS) + """SELECT circuit_key, circuit_short_name, location, country_name, country_code
   FROM dim_circuits WHERE circuit_key = 7""")
-def _(s): return serve.get_circuit(star.dim_circuits(s.sessions_twice), 7)
+def _(s): return serve.get_circuit(s.star.circuits, 7)
 
 
 @query("list_drivers", ctes(DRIVERS_V, DIM_DRIVERS) + f"SELECT {cols(K.DRIVER_COLS)} FROM dim_drivers")
-def _(s): return serve.list_drivers(star.dim_drivers(s.drivers))
+def _(s): return serve.list_drivers(s.star.drivers)
 
 
 @query("get_driver", ctes(DRIVERS_V, DIM_DRIVERS) + f"SELECT {cols(K.DRIVER_COLS)} FROM dim_drivers WHERE driver_number = 11")
-def _(s): return serve.get_driver(star.dim_drivers(s.drivers), 11)
+def _(s): return serve.get_driver(s.star.drivers, 11)
 
 
 @query("list_sessions", ctes(SESSIONS) + f"""SELECT {cols(K.SESSION_COLS[:-1])}, {t("date_start", "date_start")} FROM (SELECT * FROM sessions_v
@@ -48,35 +47,45 @@ def _(s): return s.sessions.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("filter_laps", ctes(*FACT_PARTS) + f"SELECT {LAP_OUT} FROM facts WHERE year = 2023 AND driver_number = 5")
-def _(s): return serve.filter_laps(facts(s), year=2023, driver_number=5)
+def _(s): return star_store.filter_laps(s.star, year=2023, driver_number=5)
+
+
+@query("session_laps", ctes(*FACT_PARTS) + f"SELECT {LAP_OUT} FROM facts WHERE session_key = 7")
+def _(s): return star_store.filter_laps(s.star, session_key=7)
+
+
+@query("stored_star_counts", ctes(*FACT_PARTS, SESSIONS_TWICE, DIM_CIRCUITS, DRIVERS_V, DIM_DRIVERS, ("scope_v", SCOPE[1])) + """
+SELECT 'fact_laps' AS "table", count(*) AS rows FROM facts UNION ALL SELECT 'dim_circuits', count(*) FROM dim_circuits UNION ALL
+SELECT 'dim_drivers', count(*) FROM dim_drivers UNION ALL SELECT 'dim_sessions', count(*) FROM scope_v""")
+def _(s): return star.table_counts(s.star.tables())
 
 
 @query("laps_page", ctes(*FACT_PARTS) + f"SELECT {LAP_OUT} FROM (SELECT * FROM facts WHERE year = 2024 ORDER BY session_key, driver_number, lap_number, meeting_key LIMIT 100 OFFSET 200) p")
-def _(s): return serve.laps_page(facts(s), page=3, page_size=100, year=2024).data
+def _(s): return star_store.laps_page(s.star, page=3, page_size=100, year=2024)
 
 
 @query("laps_page_info", ctes(*FACT_PARTS) + """SELECT count(*) AS total, 3::BIGINT AS page, 100::BIGINT AS page_size,
   CAST(ceil(count(*) / 100.0) AS BIGINT) AS total_pages FROM facts WHERE year = 2024""")
-def _(s): return serve.page_info(facts(s), 3, 100, year=2024)
+def _(s): return star_store.page_info(s.star, 3, 100, year=2024)
 
 
 @query("laps_after", ctes(*FACT_PARTS) + f"""SELECT {LAP_OUT} FROM (SELECT * FROM facts WHERE (session_key, driver_number, lap_number) > (50, 7, 30)
   ORDER BY session_key, driver_number, lap_number, meeting_key LIMIT 50) p""")
-def _(s): return serve.laps_after(facts(s), (50, 7, 30), 50)
+def _(s): return star_store.laps_after(s.star, (50, 7, 30), 50)
 
 
 @query("driver_laps", ctes(*FACT_PARTS) + f"""SELECT {LAP_OUT} FROM (SELECT * FROM facts WHERE driver_number = 4 ORDER BY session_key DESC,
   lap_number, meeting_key LIMIT 100) p""")
-def _(s): return serve.driver_laps(facts(s), 4)
+def _(s): return star_store.driver_laps(s.star, 4)
 
 
 @query("circuit_laps", ctes(*FACT_PARTS) + f"""SELECT {LAP_OUT} FROM (SELECT * FROM facts WHERE circuit_key = 9 AND year = 2024 ORDER BY lap_duration,
   meeting_key, session_key, driver_number, lap_number LIMIT 100) p""")
-def _(s): return serve.circuit_laps(facts(s), 9, 2024)
+def _(s): return star_store.circuit_laps(s.star, 9, 2024)
 
 
 @query("sample_rows", ctes(*FACT_PARTS) + "SELECT session_key, driver_number, lap_number FROM (SELECT * FROM facts ORDER BY session_key, driver_number, lap_number, meeting_key LIMIT 5) p")
-def _(s): return serve.laps_after(facts(s), None, 5).select("session_key", "driver_number", "lap_number")
+def _(s): return star_store.laps_after(s.star, None, 5).select("session_key", "driver_number", "lap_number")
 
 
 # ---- statistics ---------------------------------------------------------------------------------
@@ -86,37 +95,36 @@ def _(s): return serve.laps_after(facts(s), None, 5).select("session_key", "driv
   (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), '|' ORDER BY CAST(year AS VARCHAR)) FROM facts) AS years,
   (SELECT {t("min(date_start)")} FROM sessions_v) AS first_date, (SELECT {t("max(date_start)")} FROM sessions_v) AS last_date""")
 def _(s):
-    df = serve.dataset_stats(facts(s), star.dim_circuits(s.sessions_twice), star.dim_drivers(s.drivers), s.sessions_twice)
+    df = star_store.dataset_stats(s.star, s.sessions_twice)
     return df.select("total_laps", "total_circuits", "total_drivers", "total_sessions", "years",
                      F.col("date_range.min").alias("first_date"), F.col("date_range.max").alias("last_date"))
 
 
 @query("circuit_averages", ctes(*FACT_PARTS) + f"SELECT circuit_key, {r(f'avg({LAP})', 'circuit_avg')} FROM facts GROUP BY circuit_key")
-def _(s): return serve.circuit_averages(facts(s))
+def _(s): return star_store.circuit_averages(s.star)
 
 
 @query("circuit_average_display", ctes(*FACT_PARTS, ("a", f"SELECT circuit_key, avg({LAP}) AS m FROM facts GROUP BY 1")) + f"""SELECT circuit_key,
   {rounded("m", "avg_laptime_seconds", 3)}, concat(CAST(floor(m / 60) AS INT), ':', printf('%06.3f', m - floor(m / 60) * 60)) AS avg_laptime_formatted FROM a""")
-def _(s): return serve.circuit_average_display(facts(s))
+def _(s): return star_store.circuit_average_display(s.star)
 
 
 @query("driver_circuit_averages", ctes(*FACT_PARTS) + f"SELECT driver_number, circuit_key, {r(f'avg({LAP})', 'driver_circuit_avg')} FROM facts GROUP BY 1, 2")
-def _(s): return serve.driver_circuit_averages(facts(s))
+def _(s): return star_store.driver_circuit_averages(s.star)
 
 
 MAXLAP = "SELECT circuit_key, avg(m) AS a FROM (SELECT circuit_key, session_key, max(lap_number) AS m FROM facts GROUP BY 1, 2) x GROUP BY 1"
 
 @query("typical_max_laps", ctes(*FACT_PARTS, ("a", MAXLAP)) + f"SELECT circuit_key, {r('a', 'mean_max_lap')}, CAST(round(a) AS INTEGER) AS typical_max_lap FROM a")
 def _(s):
-    df = facts(s)
-    exact = serve.typical_max_laps(df, rounded=False).withColumnRenamed("typical_max_lap", "mean_max_lap")
-    return exact.join(serve.typical_max_laps(df), "circuit_key")
+    exact = star_store.typical_max_laps(s.star, rounded=False).withColumnRenamed("typical_max_lap", "mean_max_lap")
+    return exact.join(star_store.typical_max_laps(s.star), "circuit_key")
 
 
 @query("performance_scores", ctes(*FACT_PARTS) + f"""SELECT p.driver_number, p.circuit_key, {r("a - b", "driver_perf_score")} FROM
   (SELECT driver_number, circuit_key, avg({LAP}) AS a FROM facts GROUP BY 1, 2) p JOIN (SELECT circuit_key, avg({LAP}) AS b FROM facts GROUP BY 1) c
   ON p.circuit_key = c.circuit_key""")
-def _(s): return serve.performance_scores(facts(s))
+def _(s): return star_store.performance_scores(s.star)
 
 
 PROFILE = {"avg_laptime": ("lap_duration", 90.0), "avg_st_speed": ("st_speed", 310.0), "avg_i1_speed": ("i1_speed", 295.0), "avg_i2_speed": ("i2_speed", 285.0)}
@@ -124,7 +132,7 @@ PROFILES = ("profiles", f"""SELECT driver_number, {", ".join(f"coalesce(avg(CAST
   FROM (SELECT *, row_number() OVER (PARTITION BY driver_number ORDER BY session_key DESC, lap_number, meeting_key) AS rn FROM facts) x WHERE rn <= 100 GROUP BY 1""")
 
 @query("driver_profiles", ctes(*FACT_PARTS, PROFILES) + f"SELECT driver_number, {cols(PROFILE, r)} FROM profiles")
-def _(s): return serve.driver_profiles(facts(s))
+def _(s): return star_store.driver_profiles(s.star)
 
 
 # ---- scoring inputs -----------------------------------------------------------------------------
@@ -155,7 +163,7 @@ ENRICHED = ("enriched", f"""SELECT v.*, 2025 AS year, coalesce(v.circuit_avg_lap
   {r("perf", "driver_perf_score")}, {r("avg_speed", "avg_speed")}, {r("lap_progress", "lap_progress")} FROM enriched""")
 def _(s):
     ok, _ = serve.split_requests(s.view(REQUESTS))
-    return serve.enrich_requests(ok, serve.serving_tables(facts(s))).select(
+    return serve.enrich_requests(ok, star_store.serving_tables(s.star)).select(
         "request_id", "year", "circuit_avg_laptime", "driver_perf_score", "avg_speed", "lap_progress")
 
 
@@ -170,9 +178,8 @@ def _(s):
   FROM enriched e LEFT JOIN profiles p ON p.driver_number = e.driver_number""")
 def _(s):
     ok, _ = serve.split_requests(s.view(REQUESTS))
-    f = facts(s)
     scored = ok.withColumn("prediction", 80 + F.col("st_speed") / 100)
-    out = serve.compare_predictions(scored, serve.serving_tables(f), serve.driver_profiles(f))
+    out = serve.compare_predictions(scored, star_store.serving_tables(s.star), star_store.driver_profiles(s.star))
     return out.select("request_id", "delta_circuit", "delta_driver")
 
 
@@ -527,7 +534,7 @@ def _(s):
     df = prepared_features(s)
     model = models.fit(df.where("is_train"), "boosted_trees")
     ok, _ = serve.split_requests(s.view(REQUESTS))
-    enriched = serve.enrich_requests(ok, serve.serving_tables(facts(s)))
+    enriched = serve.enrich_requests(ok, star_store.serving_tables(s.star))
     return models.score(enriched, model).select("request_id", "lap_duration_seconds", "lap_duration_formatted")
 
 

@@ -8,7 +8,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapforge.session import use_utc
+from lapforge.operators import scope, star
+from lapforge.session import built_once, use_utc
+from lapforge.sources import star_store, weather_store
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -138,6 +140,21 @@ class Shapes:
     sessions = cached_property(lambda self: self.view(SESSIONS))
     sessions_twice = cached_property(lambda self: self.view(SESSIONS_TWICE))
     weather = cached_property(lambda self: self.view(WEATHER))
+
+    @cached_property
+    def stored_hours(self) -> DataFrame:
+        """The weather by station and year, written once for an application."""
+        path = built_once(self.spark, self.folder, "hours", lambda to: weather_store.write_hours(self.weather, to))
+        return weather_store.stored_hours(self.spark, path)
+
+    @cached_property
+    def star(self) -> star_store.StoredStar:
+        """The star schema as the load writes it, once for an application."""
+        def write(to: str) -> None:
+            star_store.write({"fact_laps": star.fact_laps(self.facts, LAP_ORDER), "dim_circuits": star.dim_circuits(self.sessions_twice),
+                              "dim_drivers": star.dim_drivers(self.drivers), "dim_sessions": star.dim_sessions(scope.build_scope(self.sessions_twice))}, to)
+        return star_store.StoredStar(self.spark, built_once(self.spark, self.folder, "star", write))
+
     circuit_urls = cached_property(lambda self: self.view(CIRCUIT_URLS))
     url_stations = cached_property(lambda self: self.view(URL_STATIONS))
     drivers = cached_property(lambda self: self.view(DRIVERS))

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -83,3 +84,16 @@ def lookup(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """
     frozen = freeze(df)
     return F.broadcast(frozen) if measured_bytes(frozen) <= limit else frozen
+
+
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def built_once(spark: SparkSession, source: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a table that this application derives from a source once: the first call writes it, later ones find it."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _built:
+        path = fresh_path(spark, name)
+        write(path)
+        _built[key] = path
+    return _built[key]
