@@ -14,13 +14,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapforge import schemas
-from lapforge.operators import drift, features, match, models, quality, runs, scope, serve, stations
+from lapforge.operators import drift, features, match, models, quality, runs, scope, serve, stages, stations
 from lapforge.operators.clean import CleanRules
 from lapforge.operators.dataset import SORT_COLS
 from lapforge.operators.quality import all_passed
 from lapforge.operators.shape import limit_sessions, union_named
 from lapforge.plans import pipeline
-from lapforge.session import build_session
+from lapforge.session import build_session, store
 from lapforge.sources import landing, pages, sinks, star_store, weather_store
 
 YEARS = [2023, 2024, 2025]
@@ -123,22 +123,26 @@ def score(spark: SparkSession, a: argparse.Namespace) -> int:
     requests = spark.read.parquet(a.requests) if a.format == "parquet" else spark.read.json(a.requests)
     valid, rejected = serve.split_requests(serve.with_simple_defaults(requests) if a.simple else requests)
     facts = spark.read.parquet(f"{a.out}/star/fact_laps")
-    tables = serve.serving_tables(facts)
-    scored = models.score(serve.enrich_requests(valid, tables), models.load(best["model_path"]))
+    prepared, learner = stages.split_model(models.load(best["model_path"]))
+    tables = (None if a.features == "star" else stages.stored_serving_tables(prepared)) or serve.serving_tables(facts)
+    scored = models.score(serve.enrich_requests(valid, tables), learner)
     sinks.write_step(serve.compare_predictions(scored, tables, serve.driver_profiles(facts)), f"{a.out}/predictions")
     sinks.write_step(rejected, f"{a.out}/rejected_requests")
     return 0
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> int:
-    data = features.preprocess(spark.read.parquet(f"{a.out}/dataset"), a.split)
+    dataset = spark.read.parquet(f"{a.out}/dataset")
+    flagged = store(features.stratified_flag(dataset) if a.split == "stratified" else features.temporal_flag(dataset))
+    prepared = stages.preparation().fit(flagged)
+    data = prepared.transform(flagged)
     records: list[DataFrame] = []
     for family in a.families:
         for tuned in ([False, True] if a.tuned else [False]):
             trained = models.train_run(data, family, tuned=tuned)
             run_id = trained.record.first()["run_id"]
             # A folder per run: training again never replaces the model that a record names.
-            models.save(trained.model, f"{a.out}/models/{run_id}")
+            models.save(stages.with_model(prepared, trained.model), f"{a.out}/models/{run_id}")
             sinks.write_step(trained.importance, f"{a.out}/importance/{run_id}")
             records.append(trained.record.withColumn("model_path", F.lit(f"{a.out}/models/{run_id}")))
     sinks.write_step(union_named(records), f"{a.out}/runs", mode="append")
@@ -158,7 +162,8 @@ def watch(spark: SparkSession, a: argparse.Namespace) -> int:
     summary.show()
     if a.run:
         path = spark.read.parquet(f"{a.out}/runs").where(F.col("run_id") == a.run).first()["model_path"]
-        scored = models.load(path).transform(features.preprocess(sided))
+        # the steps were fitted with the model: nothing is learned from the rows under watch
+        scored = models.load(path).transform(sided)
         sinks.write_step(drift.performance_by_side(scored), f"{a.out}/performance_by_side")
         decision = drift.retrain_needed(spark.read.parquet(f"{a.out}/performance_by_side"), summary)
         sinks.write_step(decision, f"{a.out}/retrain")
@@ -201,6 +206,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--requests", required=True)
     s.add_argument("--format", choices=["json", "parquet"], default="json", help="json is one request per line")
     s.add_argument("--simple", action="store_true", help="short requests: weather and lap number get defaults")
+    s.add_argument("--features", choices=["stored", "star"], default="stored", help="means and lap counts of the training rows, or of all facts")
     s.add_argument("--strategy", choices=["robust", "mae"], default="robust")
     s.add_argument("--family", choices=["random_forest", "boosted_trees"])
     d = jobs.add_parser("drift")

@@ -1,15 +1,16 @@
 """Serving, feature, matching, drift, model and monitoring queries."""
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.functions import geo, text, timing
-from lapforge.operators import drift, features, match, models, ordered, runs, serve, star, stations
+from lapforge.operators import drift, features, match, models, ordered, runs, serve, stages, star, stations
 from lapforge.plans import shapes as S
 from lapforge.plans.catalog import (DIM_CIRCUITS, DIM_DRIVERS, DRIVERS_V, EVENTS, FACTS, FACTS_V, LAPS, ORDER, SCOPE, SESSIONS, SESSIONS_TWICE,
-                                    cols, ctes, query, r, rounded, t)
+                                    ORACLES, cols, ctes, query, r, rounded, t)
 from lapforge.operators.shape import union_named
-from lapforge.session import freeze
+from lapforge.session import freeze, fresh_path
 from lapforge.sources import star_store, stream
 from lapforge.streaming import rules
 
@@ -211,6 +212,31 @@ def _(s): return features.impute_groups(s.facts, K.SPORT_COLS).select(*ROW, *K.S
 def _(s): return features.impute(s.facts, S.LAP_ORDER).select(*ROW, *IMPUTED_COLS)
 
 
+def saved(s, name, model):
+    """The model as it comes back from storage."""
+    path = fresh_path(s.spark, name)
+    model.write().save(path)
+    return type(model).load(path)
+
+
+@query("impute_by_stored_model", ctes(FACTS_V, *IMPUTED) + f"SELECT {cols(ROW)}, {cols(IMPUTED_COLS, r)} FROM f3")
+def _(s):
+    steps = stages.preparation(S.LAP_ORDER).getStages()[:3]
+    return saved(s, "imputer", Pipeline(stages=steps).fit(s.facts)).transform(s.facts).select(*ROW, *IMPUTED_COLS)
+
+
+# Medians of the laps before 2025, kept, next to the medians of all laps.
+EARLY = "facts_v WHERE year < 2025"
+
+@query("stored_medians_apart", ctes(FACTS_V, *[(n, f"""SELECT circuit_key, driver_number, {", ".join(f"median({c}) AS {c}" for c in K.SPORT_COLS)} FROM {rows}
+  GROUP BY 1, 2""") for n, rows in (("now", "facts_v"), ("kept", EARLY))]) + " UNION ALL ".join(f"""SELECT '{c}' AS column_name, count(*) AS groups,
+  count(CASE WHEN k.driver_number IS NOT NULL AND n.{c} IS DISTINCT FROM k.{c} THEN 1 END) AS changed, count(CASE WHEN k.driver_number IS NULL THEN 1 END) AS new
+  FROM now n LEFT JOIN kept k ON n.circuit_key = k.circuit_key AND n.driver_number = k.driver_number""" for c in K.SPORT_COLS))
+def _(s):
+    step = stages.GroupMedians(columns=K.SPORT_COLS)
+    return stages.medians_apart(saved(s, "medians", step.fit(s.facts.where("year < 2025"))), step.fit(s.facts), K.SPORT_COLS)
+
+
 @query("fill_forward", ctes(FACTS_V) + f"""SELECT {cols(ROW)}, {cols(K.WEATHER_COLS, lambda c: r(f"last_value({c} IGNORE NULLS) OVER w"))} FROM facts_v
   WINDOW w AS (PARTITION BY session_key ORDER BY lap_number, driver_number, {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def _(s):
@@ -258,6 +284,13 @@ def _(s):
     return features.TargetEncoder.fit(df, ["circuit_key", "year"]).apply(df).select(*ROW, "circuit_avg_laptime", "year_avg_laptime")
 
 
+@query("encode_by_stored_model", ORACLES["target_encoding"])
+def _(s):
+    df = half(s)
+    fitted = saved(s, "encoder", stages.MeanEncoding(columns=["circuit_key", "year"]).fit(df))
+    return fitted.transform(df.drop("is_train")).select(*ROW, "circuit_avg_laptime", "year_avg_laptime")
+
+
 @query("derived_features", ctes(FACTS_V, HALF, ("tr", "SELECT * FROM half WHERE is_train"),
        ("ml", "SELECT circuit_key, avg(m) AS a FROM (SELECT circuit_key, session_key, max(lap_number) AS m FROM half GROUP BY 1, 2) x GROUP BY 1")) + f"""
 SELECT {cols(ROW)}, {r("(st_speed + i1_speed + i2_speed) / 3", "avg_speed")}, {r("least(lap_number / coalesce(ml.a, 70), 1.0)", "lap_progress")},
