@@ -70,7 +70,7 @@ FROM c LEFT JOIN h USING (page_id, fetched_at)
 def op2_norm_bucket_topk(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     finite = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = e.where(finite).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("int")).alias("embedding"))
+    whole = e.where(finite).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("embedding"))
     return topk.top_products(whole, whole.where("vec_id % 20 = 0"), 20)
 
 

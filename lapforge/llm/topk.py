@@ -15,12 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lapforge.llm.common import stored
+from lapforge.session import lookup
 
 BUCKET_ROWS = 8192
 QUERY_ROWS = 2048
 FOCUS = 6
 COSINE_FOR_COORDINATES = 0.3
 SLACK = 1e-9
+EXACT = 2.0 ** 52  # products of lengths below this are exact in doubles
+HIGHEST = 2 ** 63 - 1
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -57,15 +60,21 @@ def _candidates(q: np.ndarray, floor: float, length: float, lengths: np.ndarray,
     return np.flatnonzero(ok), "coordinate"
 
 
+def _products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact products of whole-number vectors whose lengths are too large for doubles."""
+    return v.astype(object) @ q.astype(object) if len(q) else np.zeros(len(v), object)
+
+
 def _searched(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """Best k of one bucket for each query of one block."""
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(queries) and len(vectors):
         vectors = vectors.sort_values(["length", "id"], ascending=[False, True])
-        v, ids, lengths = np.stack(vectors["v"].to_numpy()).astype(np.float64), vectors["id"].to_numpy(), vectors["length"].to_numpy()
+        whole, ids, lengths = np.stack(vectors["v"].to_numpy()).astype(np.int64), vectors["id"].to_numpy(), vectors["length"].to_numpy()
+        v = whole.astype(np.float64)
         unit = np.asfortranarray(v / np.maximum(lengths, SLACK)[:, None])  # read by column
-        q, own = np.stack(queries["v"].to_numpy()).astype(np.float64), queries["id"].to_numpy()
-        floors, reach = queries["floor"].to_numpy(), queries["length"].to_numpy()
+        q_whole, own = np.stack(queries["v"].to_numpy()).astype(np.int64), queries["id"].to_numpy()
+        q, floors, reach = q_whole.astype(np.float64), queries["floor"].to_numpy(), queries["length"].to_numpy()
         for i in range(len(q)):
             floor = -math.inf if np.isnan(floors[i]) else floors[i]
             if reach[i] == 0:  # every product is 0
@@ -73,57 +82,72 @@ def _searched(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFr
             else:
                 near, _ = _candidates(q[i], floor, reach[i], lengths, unit)
             near = near[ids[near] != own[i]]
-            if len(near):
+            if not len(near):
+                continue
+            if reach[i] * lengths[0] < EXACT:
                 scores = v[near] @ q[i]
                 near, scores = (near, scores) if floor == -math.inf else (near[scores >= floor], scores[scores >= floor])
                 top = _best(scores, ids[near], k)
-                out["query_id"].append(np.full(len(top), own[i]))
-                out["vec_id"].append(ids[near][top])
-                out["score"].append(np.rint(scores[top]).astype(np.int64))
+                found = np.rint(scores[top]).astype(np.int64)
+            else:
+                scores = [max(min(int(x), HIGHEST), -HIGHEST - 1) for x in _products(whole[near], q_whole[i])]
+                top = sorted(range(len(near)), key=lambda x: (-scores[x], ids[near[x]]))[:k]
+                found = np.array([scores[x] for x in top], np.int64)
+            out["query_id"].append(np.full(len(top), own[i]))
+            out["vec_id"].append(ids[near][top])
+            out["score"].append(found)
     return pd.DataFrame({c: np.concatenate(x) if x else np.empty(0, np.int64) for c, x in out.items()})
 
 
+def _dealt(vectors: DataFrame, bucket_rows: int) -> DataFrame:
+    """(id, v, d, length, bucket): the vectors of each number of components d in buckets of about bucket_rows, longest first.
+
+    A histogram of lengths is summed from the longest and cut every bucket_rows; vectors of one length that overfill a bucket
+    are dealt over the buckets they cover.
+    """
+    cell = F.floor(F.least(F.col("length"), F.lit(EXACT)) / 4)
+    fine = vectors.withColumn("cell", cell).groupBy("d", "cell").agg(F.count("*").alias("in_cell"))
+    above = F.sum("in_cell").over(W.partitionBy("d").orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1))
+    cells = fine.withColumn("above", F.coalesce(above, F.lit(0)))
+    place = F.col("above") + F.pmod(F.xxhash64("id", "v"), F.col("in_cell"))
+    return vectors.withColumn("cell", cell).join(cells, ["d", "cell"]).select("id", "v", "d", "length", F.floor(place / bucket_rows).cast("int").alias("bucket"))
+
+
+def open_pairs(armed: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(d, block, bucket): the blocks of queries that a bucket's longest vector can reach the floor of, past the first bucket.
+
+    A query with floor f needs a length of f / |q| at least; a block needs its smallest. All other pairs are never shuffled.
+    """
+    least = armed.groupBy("d", "block").agg(F.min("need").alias("need"))
+    tops = dealt.where("bucket > 0").groupBy("d", "bucket").agg(F.max("length").alias("top"))
+    return least.join(tops, "d").where(F.col("need") * (1 - SLACK) <= F.col("top")).select("d", "block", "bucket")
+
+
 def top_products(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
                  bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k largest inner products with other ids, ties to the smaller id.
 
-    Components are whole numbers (below 2**20 each, so that products are exact in double precision).
-    Left out: null ids, null vectors, vectors with null components, vectors whose number of components is not the most
-    frequent one. A repeated id: every vector of it counts. Queries meet vectors block by block; a block is bounded by
-    bucket_rows and query_rows. Empty tables: no rows. Other columns are not used.
+    Components are whole numbers of up to 64 bits. Products that doubles hold are taken in doubles, larger ones in unbounded
+    integers; a score beyond 64 bits counts as the largest (smallest) such number. Queries meet the vectors with as many components
+    as they have. Left out: null ids, null vectors, vectors with null components. A repeated id: every vector of it counts.
+    Queries meet vectors block by block; a block is bounded by bucket_rows and query_rows. Empty tables: no rows. Other
+    columns are not used.
     """
     def clean(df):
         whole = F.col(vector_col).isNotNull() & ~F.coalesce(F.exists(vector_col, lambda x: x.isNull()), F.lit(True))
-        return df.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"),
-                                                                 F.col(vector_col).cast("array<int>").alias("v"))
-
-    all_v = clean(vectors)
-    sizes = all_v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d, n = (sizes["d"], sizes["count"]) if sizes else (0, 0)
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long"))
-    length = F.sqrt(square.cast("double"))
-    all_v = all_v.where(F.size("v") == d).withColumn("length", length)
-    asked = clean(queries).where(F.size("v") == d).withColumn("length", length)
-    buckets, blocks = max(1, math.ceil(n / bucket_rows)), max(1, math.ceil(asked.count() / query_rows))
-    # Buckets by length: a histogram of whole-number squared lengths, summed from the longest, cut every bucket_rows.
-    # Vectors of one length that overfill a bucket are dealt over the buckets they cover.
-    grain = all_v.groupBy("length").count()
-    fine = grain.withColumn("cell", F.floor(F.col("length") / 4)).groupBy("cell").agg(F.sum("count").alias("in_cell"))
-    above = F.coalesce(F.sum("in_cell").over(W.orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = fine.withColumn("above", above)
-    dealt = all_v.withColumn("cell", F.floor(F.col("length") / 4)).join(cells, "cell")
-    place = F.col("above") + F.pmod(F.xxhash64("id", "v"), F.col("in_cell"))
-    dealt = dealt.select("id", "v", "length", F.least(F.floor(place / bucket_rows), F.lit(buckets - 1)).cast("int").alias("bucket"))
-    dealt = stored(dealt, "vectors")
-    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "queries")
-
+        v = df.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"))
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        return v.select("id", "v", F.size("v").alias("d"), F.sqrt(square).alias("length"))
+
+    dealt = stored(_dealt(clean(vectors), bucket_rows), "vectors")
+    asked = stored(clean(queries), "queries")
+    blocks = asked.groupBy("d").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
+    blocks = lookup(blocks)  # one row for each number of components
     schema = "query_id long, vec_id long, score long"
 
-    def met(blocks_of_queries, with_buckets, among):
-        left = blocks_of_queries.withColumn("bucket", F.explode(F.array(*map(F.lit, with_buckets)) if len(with_buckets) < 64
-                                                                else F.sequence(F.lit(with_buckets[0]), F.lit(with_buckets[-1]))))
-        right = among.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInPandas(
+    def met(left, right):
+        keys = ("d", "block", "bucket")
+        return left.groupBy(*keys).cogroup(right.select("id", "v", "length", *(F.col(c).alias(f"of_{c}") for c in keys)).groupBy(*(f"of_{c}" for c in keys))).applyInPandas(
             lambda a, b: _searched(a, b, k), schema)
 
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -131,11 +155,22 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     def best(hits):
         return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
-    unset = asked.withColumn("floor", F.lit(None).cast("double"))
-    seeds = stored(best(met(unset, [0], dealt.where("bucket = 0"))), "seeds")
-    if buckets == 1:
+    unset = asked.join(blocks, "d").select("id", "v", "d", "length", F.lit(None).cast("double").alias("floor"),
+                                           F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("bucket"))
+    longest = dealt.where("bucket = 0").join(blocks, "d").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seeds = stored(best(met(unset, longest)), "seeds")
+    if not dealt.where("bucket > 0").limit(1).count():
         return seeds.select("query_id", "rank", "vec_id", "score")
     floors = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    armed = asked.join(floors.groupBy("id").agg(F.max("floor").alias("floor")), "id", "left")
-    rest = met(armed, list(range(1, buckets)), dealt.where("bucket > 0"))
+    need = F.when(F.col("floor").isNull() | (F.col("floor") <= 0), F.lit(0.0)).when(F.col("length") > 0, F.col("floor") / F.col("length")).otherwise(F.lit(float("inf")))
+    armed = asked.join(floors.groupBy("id").agg(F.max("floor").alias("floor")), "id", "left").withColumn("need", need)
+    # queries of like needs share a block, so that a block's least need says much of all; many of one need are dealt out
+    total = max(1, math.ceil(asked.count() / query_rows))
+    ranged = stored(armed.repartitionByRange(total, "d", "need").withColumn("part", F.spark_partition_id()), "armed")
+    shares = lookup(ranged.groupBy("d", "part").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("shares")))
+    turn = F.pmod(F.xxhash64("id"), F.col("shares")).cast("long")
+    armed = ranged.join(shares, ["d", "part"]).select("id", "v", "d", "length", "floor", "need", (F.col("part") * 1_000_000 + turn).alias("block"))
+    pairs = lookup(open_pairs(armed, dealt))
+    rest = met(armed.join(pairs, ["d", "block"]), dealt.join(pairs.select(F.col("d").alias("pd"), F.col("bucket").alias("pb"), "block"),
+                                                            (F.col("d") == F.col("pd")) & (F.col("bucket") == F.col("pb"))))
     return best(seeds.drop("rank").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
