@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapforge.llm import minhash, mixing, packing, suffixes, toxicity
-from lapforge.llm.common import delete_folder, drop_stored, short_lived_shuffles, stored, table
+from lapforge.llm.common import delete_folder, drop_stored, free_name, short_lived_shuffles, stored, table
 from lapforge.llm.queries import tokenizer
 from lapforge.session import fresh_path
 
@@ -36,11 +36,12 @@ def toxic_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 @stage
 def near_copies_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; rows without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    i, n = free_name(docs, "kept_id"), free_name(docs, "n")
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias(n))
     kept = stored(kept, "kept")
-    out = docs.join(kept, docs["doc_id"] == kept["kept_id"])
-    if kept.where("n > 1").limit(1).count():  # only then do rows have to be told apart, which takes another shuffle of texts
-        out = out.where("n = 1").unionByName(out.where("n > 1").dropDuplicates(["doc_id"]))
+    out = docs.join(kept, docs["doc_id"] == kept[i])
+    if kept.where(F.col(n) > 1).limit(1).count():  # only then do rows have to be told apart, which takes another shuffle of texts
+        out = out.where(F.col(n) == 1).unionByName(out.where(F.col(n) > 1).dropDuplicates(["doc_id"]))
     return out.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -48,14 +49,19 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 def repeats_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """100-byte strings that occur earlier are cut out, in whole characters."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffixes.kept_bytes(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    # carried columns travel under names of their own, so they clash with none of the operator's
+    safe = {c: f"carried_{k}" for k, c in enumerate(others)}
+    cut = suffixes.kept_bytes(docs.withColumnsRenamed(safe), carry=list(safe.values()), whole_characters=True)
+    text = F.col("kept").cast("string")
+    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long"), **{c: F.col(x) for c, x in safe.items()}}
+    return cut.select(*[made[c].alias(c) for c in docs.columns])
 
 
 @stage
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each document in whole copies, so that each source keeps the words that the mix takes from it."""
-    return mixing.mixed_documents(docs)
+    safe = {c: f"carried_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    return mixing.mixed_documents(docs.withColumnsRenamed(safe)).withColumnsRenamed({x: c for c, x in safe.items()}).select(docs.columns)
 
 
 @stage
