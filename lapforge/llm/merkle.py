@@ -73,7 +73,7 @@ def with_next(df: DataFrame, key: str, text: str, out: str, rows_per_chunk: int
     the next chunk that has any, so whole rows are shuffled once. Rows with a null key come last; rows that repeat a
     key go by a hash of their text. A table of one row is its own next.
     """
-    chunk, extra, tie = (free_name(df, c) for c in ("chunk", "extra", "tie"))
+    chunk, extra, tie, head, of, before, nth = (free_name(df, c) for c in ("chunk", "extra", "tie", "head", "of", "before", "nth"))
     k = F.col(key)
     span = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count("*").alias("n")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
@@ -82,13 +82,13 @@ def with_next(df: DataFrame, key: str, text: str, out: str, rows_per_chunk: int
     dealt = df.withColumn(chunk, F.coalesce(F.floor((F.lit(hi) - k) / F.lit(width)), F.lit(chunks + 1)).cast("long"))
     dealt = dealt.withColumn(tie, F.xxhash64(text))
     # keys only: the first key of each chunk, and the chunk before it (before the first one: the last)
-    heads = dealt.groupBy(chunk).agg(F.max(k).alias("head"))
+    heads = dealt.groupBy(chunk).agg(F.max(k).alias(head))
     everyone = W.orderBy(chunk).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = heads.withColumn("before", F.coalesce(F.lag(chunk).over(W.orderBy(chunk)), F.last(chunk).over(everyone)))
-    heads = lookup(heads.select(F.col("head"), F.col("before"), F.col(chunk).alias("of")))
-    first = dealt.join(heads, k.eqNullSafe(F.col("head")) & (F.col(chunk) == F.col("of")))
-    ahead = W.partitionBy("before").orderBy(tie)
-    first = first.withColumn("nth", F.row_number().over(ahead)).where("nth = 1").withColumn(chunk, F.col("before"))
+    heads = heads.withColumn(before, F.coalesce(F.lag(chunk).over(W.orderBy(chunk)), F.last(chunk).over(everyone)))
+    heads = lookup(heads.select(F.col(head), F.col(before), F.col(chunk).alias(of)))
+    first = dealt.join(heads, k.eqNullSafe(F.col(head)) & (F.col(chunk) == F.col(of)))
+    ahead = W.partitionBy(before).orderBy(tie)
+    first = first.withColumn(nth, F.row_number().over(ahead)).where(F.col(nth) == 1).withColumn(chunk, F.col(before))
     first = first.select(*dealt.columns).withColumn(extra, F.lit(1))
     rows = dealt.withColumn(extra, F.lit(0)).unionByName(first)
     order = W.partitionBy(chunk).orderBy(extra, k.desc_nulls_last(), tie)
