@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, mixed, stored, tidy
+from lapforge.llm.common import bytes_of, mixed, stored, tidy, tidy_group
 from lapforge.llm.graph import components
 from lapforge.llm.hashing import shingle_set
 
@@ -76,7 +76,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
     def sign(batches):
         import pyarrow as pa
         import zstandard
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
 
         def out(ids, sets, packed):
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
@@ -182,7 +182,7 @@ def across(split: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     as_outsider = rows.where("component <> main").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).select(
         *columns, turn.alias("x"), "y", F.lit(1).alias("outside"))
     cells = as_member.unionByName(as_outsider).groupBy("band", "x", "y")
-    return cells.applyInArrow(_meet(words, percent), "a long, b long").distinct()
+    return cells.applyInArrow(tidy_group(_meet(words, percent)), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -198,8 +198,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = stored(named.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "n", "rep").distinct(), "classes")
     # one text and one band list per class: that of its smallest id (of rows that share that id, the first digest)
     reps = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("d")).select("rep", "d.d1", "d.d2")
-    bands = named.join(classes, ["d1", "d2"]).where("id = rep").select("id", "n", F.explode("bands").alias("band")).distinct()
-    bands = stored(bands, "bands")
+    # rows that repeat an id with its text are dropped before their bands are written out
+    own = named.join(classes, ["d1", "d2"]).where("id = rep").select("d1", "d2", "id", "n", "bands").dropDuplicates(["d1", "d2"])
+    bands = stored(own.select("id", "n", F.explode("bands").alias("band")), "bands")
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     centres = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     centres = stored(centres.select("band", F.col("c.id").alias("a"), F.col("c.n").alias("m")), "centres")
@@ -209,8 +210,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = stored(named.select("id", "d1", "d2", "bands", "packed").join(asked, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"]).drop("d1", "d2"), "texts")
     first = stored(crowded.where(fits & (F.col("id") > F.col("a"))).select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = stored(verified(first, texts.select("id", "packed"), words, percent), "links")
-    # rows that share an id tie their classes together
-    shared = member.join(member.select("id", F.col("rep").alias("other")), "id").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    # rows that share an id tie their classes together: each class to the smallest of its id
+    first_of = member.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("id", "least")
+    shared = member.join(first_of, "id").where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(shared)
     found = components(links)
 
