@@ -109,14 +109,39 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: Python workers live on from task to task and from stage to stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(task):
-    """The same mapInArrow function, which gives back what Arrow holds when a task ends: Python workers live on."""
+    """The same mapInArrow function, which gives back memory when a task ends."""
     def run(batches):
-        import pyarrow as pa
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
+    return run
+
+
+def tidy_group(apply):
+    """The same applyInArrow function, which gives back memory after large groups."""
+    def run(table):
+        large = table.nbytes > 1 << 20
+        try:
+            return apply(table)
+        finally:
+            if large:
+                give_back()
     return run
 
 

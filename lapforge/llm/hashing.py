@@ -11,7 +11,7 @@ from lapforge.llm.common import mixed
 BASE = 0x5851F42D4C957F2D
 CODES = np.random.RandomState(7).randint(1, 2**62, 256).astype(np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -21,12 +21,12 @@ Every claim of equality is verified on bytes; hash collisions cost time, never a
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, mixed, stored, tidy
+from lapforge.llm.common import bytes_of, mixed, stored, tidy, tidy_group
 from lapforge.llm.hashing import CODES, powers, prefix, stretch
 
 SPAN, GRAM = 100, 40
 CROWD = 200_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 TURN = 200_000
 PLACE = np.uint64((1 << 22) - 1)
 BUCKETS_PER_PARTITION = 4
@@ -532,13 +532,13 @@ def repeated_stretches(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crow
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS_PER_PARTITION * parts
     scanned = docs.mapInArrow(tidy(_scan(span, gram, buckets)), BLOBS)
-    news = stored(scanned.groupBy("bucket").applyInArrow(_repeating(span, crowd), "doc long, a long, b long"), "anchors")
+    news = stored(scanned.groupBy("bucket").applyInArrow(tidy_group(_repeating(span, crowd)), "doc long, a long, b long"), "anchors")
     crowded = [r[0] for r in news.where("b = -2").select("a").distinct().limit(MOST_CROWDED).collect()]
     crowded = np.sort(np.array(crowded, np.int64).view(np.uint64))
     asked = news.where("b = -1").groupBy("doc").agg(F.collect_list("a").alias("asked"))
     told = docs.join(asked, "doc").select("doc", "text", "asked")
     sent = told.mapInArrow(tidy(_send(span, gram, buckets, crowded)), BLOBS)
-    found = stored(sent.groupBy("bucket").applyInArrow(_sorted_out(span, gram), "doc long, a long, b long"), "stretches")
+    found = stored(sent.groupBy("bucket").applyInArrow(tidy_group(_sorted_out(span, gram)), "doc long, a long, b long"), "stretches")
     both = found.unionByName(news.where("b >= 0"))
     longest = (1 << 24) - 1
     pieces = both.select("doc", F.explode(F.transform(F.sequence(F.col("a"), F.col("b") - 1, F.lit(longest)),

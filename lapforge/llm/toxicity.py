@@ -313,5 +313,8 @@ def score(docs: DataFrame, index: Index, keep: list[str], text_col: str = "text"
             near = [[{"doc_id": d, "similarity": s, "toxic": t} for d, s, t in x] for _, x in found]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores), pa.array([int(s >= threshold) for s in scores], pa.int32()),
                                               pa.array(near, kind)], names=[*keep, "score", "predicted", "evidence"])
+        # the index stays with the worker for its next task; what it remembers of these texts goes
+        shared.value.known.clear()
+        shared.value.terms.clear()
 
     return docs.select(*keep, F.col(text_col).alias(asked)).mapInArrow(tidy(run), schema)

@@ -5,7 +5,8 @@ import re
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 CLASHING = {"chunk": "x", "doc": "x", "n": "x", "a": "x", "b": "x", "id": "x", "tie": "x", "size": "x", "block": "x", "shard": "x", "slot": "x",
-            "kept": "x", "score": "x", "predicted": "x", "sequence_id": "x", "offset": "x", "length": "x", "piece": "x", "carried": "x"}
+            "kept": "x", "score": "x", "predicted": "x", "sequence_id": "x", "offset": "x", "length": "x", "piece": "x", "carried": "x",
+            "kept_id": "x", "spans": "x", "mix_id": "x", "mix_copies": "x", "head": "x", "of": "x", "before": "x", "nth": "x", "carried_0": "x"}
 
 
 def prose(seed: int, words: int, names: int = 3000) -> str:
