@@ -1,6 +1,7 @@
 """Fingerprints: equality, the located edit, and the next document of every document."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,56 @@ def test_a_changed_paragraph_is_located(spark):
     assert len(set(sa) - set(sb)) <= 2 and len(sa) > 3
 
 
+def plain_places(x, y):
+    """What text x has and y lacks, over sets of whole lines and of their phrases."""
+    mine, theirs = x.split("\n"), y.split("\n")
+    phrases = lambda line: re.findall(merkle.PHRASE, line)
+    known = {p for line in theirs if line not in mine for p in phrases(line)}
+    return [(k, [i for i, p in enumerate(phrases(line)) if p not in known]) for k, line in enumerate(mine) if line not in theirs]
+
+
+LINES = [f"line {k}, with two phrases." for k in range(60)]
+EDITS = {
+    "change": LINES[:17] + ["line 17, with other phrases."] + LINES[18:],
+    "insert": LINES[:30] + ["one more line, here.", "and another."] + LINES[30:],
+    "delete": LINES[:8] + LINES[11:],
+    "far apart": ["first, new."] + LINES[1:59] + ["last, new."],
+    "none": LINES,
+    "all": ["nothing of it."],
+    "empty": [""],
+}
+
+
+@pytest.mark.parametrize("name", list(EDITS))
+def test_an_edit_is_located(spark, name):
+    old, new = "\n".join(LINES), "\n".join(EDITS[name])
+    a, b = prints(spark, [old, new])
+    df = spark.createDataFrame([(a, b, "x")], "a string, b string, removed string")
+    row = merkle.locate(df, "a", "b").first()
+    for got, x, y in ((row["removed"], old, new), (row["added"], new, old)):
+        assert [(p["paragraph"], p["phrases"]) for p in got] == plain_places(x, y)
+        sections = [p["section"] for p in got]
+        assert sections == sorted(sections)
+
+
+def test_locate_of_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(None, "x:y=z")], "a string, b string")
+    assert merkle.locate(df, "a", "b").first()["removed"] is None
+    assert merkle.locate(df.limit(0), "a", "b").count() == 0
+
+
+def test_texts_without_punctuation_share_leaves_after_an_edit(spark):
+    words = [hashlib.md5(str(k).encode()).hexdigest()[:3 + k % 6] for k in range(3000)]
+    texts = [" ".join(words), "".join(words), "、".join(words), "字" * 10 + "".join(chr(0x4E00 + 7 * k % 20000) for k in range(4000))]
+    moved = [" ".join(["new"] + words), "x"]
+    for text in texts:
+        df = spark.createDataFrame([(text, "other text " * 3000)], "t string, f string")
+        leaves = [merkle.leaf_set(merkle.tree(c)) for c in (F.col("t"), merkle.edited(F.col("t"), F.col("f")))]
+        assert df.select(merkle.likeness(*leaves)).first()[0] > 0.5
+    df = spark.createDataFrame([(texts[0], moved[0])], "t string, f string")
+    assert df.select(merkle.likeness(*(merkle.leaf_set(merkle.tree(F.col(c))) for c in "tf"))).first()[0] > 0.95
+
+
 @pytest.mark.parametrize("rows_per_chunk", [1, 4, 1000])
 def test_next_document(spark, rows_per_chunk):
     rows = [(i, t or "", s) for i, t, s in odd_texts()]
