@@ -653,15 +653,15 @@ def _(s):
 @query("stream_held_condition", ctes(EVENTS, MINUTE, WIDE, *HELD) + f"""SELECT event_type, {t("window_end", "window_end")}, {t("since", "since")},
   window_end - since >= INTERVAL '5' MINUTE AS firing, {CLOSED} FROM held""")
 def _(s):
-    windows = rules.relay(sliding(event_stream(s)), "windows")
     breach = lambda df: rules.rule_samples(df, "mean_value", ">", 12.0)
-    done = rules.run_available(rules.held_stream(breach(windows), ["event_type"], 5), "held")
-    # A run of breached windows can begin among the closed ones and go on among the open ones.
-    closed = rules.run_available(sliding(event_stream(s)), "windows")
-    every = rules.with_open_windows(closed, s.events, sliding, window_end, "5 minutes")
-    tail = rules.held(breach(every), ["event_type"], 5)
+    windows = rules.sliding_metrics(event_stream(s), ["event_type"], B, time="at")
+    finished = rules.run_available(rules.held_stream(breach(windows), ["event_type"], 5, time="at"), "held")
+    # Runs that the stream still waits for at its last watermark come from the batch form.
     cut = rules.last_watermark(s.events)
-    return done.withColumn("closed", F.lit(True)).unionByName(tail.where(F.col("window_end") > cut).withColumn("closed", F.lit(False)))
+    every = rules.held(breach(sliding(s.events)), ["event_type"], 5)
+    last = F.max("window_end").over(W.partitionBy("event_type", "since"))
+    waiting = every.withColumn("last", last).where(F.col("last") + F.expr("INTERVAL '90' SECOND") - F.expr("INTERVAL '0.000001' SECOND") > cut).drop("last")
+    return finished.unionByName(waiting).withColumn("closed", F.col("window_end") <= cut)
 
 
 # The published rules, each with its own comparison, limit and hold time, on measures made from events.
