@@ -1,10 +1,11 @@
-"""Batch jobs: python -m lapforge.job {run,train,drift} --help. Submit with spark-submit on a cluster.
+"""Batch jobs: python -m lapforge.job {match,run,train,score,drift,purge} --help. Submit with spark-submit on a cluster.
 
 match  circuit pages, sessions and a station catalogue -> circuit_urls and circuit_stations, as `run` reads them
 run    landed files -> scope, dataset, star schema, reports, checks
 train  dataset -> features, models, runs table, importances
 score  requests -> predictions of the best stored model, with the rejected requests and their reasons
 drift  dataset -> drift per column and summary; with --run also the model's errors on both sides and the retrain decision
+purge  a table by category and month -> the same table without the rows past their retention, and what was deleted
 """
 
 import argparse
@@ -20,8 +21,8 @@ from lapforge.operators.dataset import SORT_COLS
 from lapforge.operators.quality import all_passed
 from lapforge.operators.shape import limit_sessions, union_named
 from lapforge.plans import pipeline
-from lapforge.session import build_session, store
-from lapforge.sources import landing, pages, sinks, star_store, weather_store
+from lapforge.session import build_session, release, store
+from lapforge.sources import landing, pages, retention, sinks, star_store, weather_store
 
 YEARS = [2023, 2024, 2025]
 PLACE = ["year", "meeting_key", "session_key", "driver_number", "lap_number"]
@@ -214,15 +215,31 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--since", help="first date of the current part; without it the split is by position")
     d.add_argument("--share", type=float, default=0.7)
     d.add_argument("--alpha", type=float, default=0.05)
-    for q in (r, t, d, m, s):
+    g = jobs.add_parser("purge")
+    g.add_argument("--table", required=True, help="folder category=<c>/month=<yyyy-MM>/ of Parquet files")
+    g.add_argument("--stamp", default="ts", help="column with the age of a row")
+    g.add_argument("--now", required=True, help="moment from which ages are counted")
+    for q in (r, t, d, m, s, g):
         q.add_argument("--out", required=True)
     return p
 
 
+def purge(spark: SparkSession, a: argparse.Namespace) -> int:
+    done = retention.purge(spark, a.table, spark.read.parquet(a.table).schema, a.stamp, a.now)
+    sinks.write_step(done, f"{a.out}/purged", mode="append")
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = spark or build_session(f"lapforge-{args.job}")
-    return {"match": match_pages, "run": run, "train": train, "score": score, "drift": watch}[args.job](spark, args)
+    job = {"match": match_pages, "run": run, "train": train, "score": score, "drift": watch, "purge": purge}[args.job]
+    if spark is not None:
+        return job(spark, args)
+    spark = build_session(f"lapforge-{args.job}")
+    try:
+        return job(spark, args)
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

@@ -8,8 +8,8 @@ from lapforge.plans import pipeline, shapes as S
 from lapforge.plans.catalog import (BOUNDS, CLEAN, CTX, DIM_CIRCUITS, DIM_DRIVERS, DIM_SESSIONS, DRIVERS_V, FACTS, FACTS_V, JOINED,
                                     LABELLED, LAPS, MAPPING, ORDER, PIPE, RULE0, SCOPE, SESSIONS, SESSIONS_TWICE, URL_STATIONS,
                                     URLS, WEATHER, cols, ctes, query, r, rounded, t)
-from lapforge.session import lookup
-from lapforge.sources import landing, pages, sinks
+from lapforge.session import fresh_path, lookup
+from lapforge.sources import landing, pages, retention, sinks
 
 # ---- sources ------------------------------------------------------------------------------------
 
@@ -192,6 +192,19 @@ def _(s):
     return kept.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same policy as a purge of stored rows: what is left, month by month, after folders went and months at the limit were cut.
+@query("purged_events", """SELECT event_type AS category, strftime(ts, '%Y-%m') AS month, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id
+  FROM {events} WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-04-09') <=
+  CASE event_type WHEN 'view' THEN 90 WHEN 'click' THEN 80 WHEN 'error' THEN 75 ELSE 100000 END GROUP BY 1, 2""")
+def _(s):
+    rows = s.events.withColumnRenamed("event_type", "category")
+    path = fresh_path(s.spark, "events-by-month")
+    retention.write_by_month(rows, path, "ts")
+    retention.purge(s.spark, path, rows.schema, "ts", "2024-04-09 00:00:00", {"view": 90, "click": 80, "error": 75})
+    left = retention.read_by_month(s.spark, path, rows.schema)
+    return left.groupBy("category", "month").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
 # ---- scope, cleaning ----------------------------------------------------------------------------
 
 @query("session_scope", ctes(SESSIONS_TWICE, SCOPE) + f"""SELECT year, meeting_key, session_key, session_name, session_type,

@@ -1,7 +1,7 @@
 """Serving, feature, matching, drift, model and monitoring queries."""
 
 from pyspark.ml import Pipeline
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from lapforge import constants as K
 from lapforge.functions import geo, text, timing

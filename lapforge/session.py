@@ -44,6 +44,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, through the file system that its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has frozen, stored and kept as stream state. Spark gives each application a folder of its
+    own below spark.checkpoint.dir, and only that goes. For the end of a job: tables frozen before cannot be read after."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        delete_folder(spark, spark.sparkContext.getCheckpointDir())
+    _built.clear()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
