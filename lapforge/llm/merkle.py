@@ -1,6 +1,6 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and their phrases. Native expressions only.
 
-Phrases are the leaves. A phrase ends with the first punctuation mark (of several scripts) among its first REACH code
+Phrases are the leaves. A phrase ends with the first ASCII punctuation mark among its first REACH code
 points; without one, with the first word end that BORDER names, and without that after REACH code points. So an edit moves
 the borders of at most a few phrases, and no leaf of a text without punctuation grows. A paragraph is a line; a section is
 a run of paragraphs that ends after one whose hash starts with 0 .. 3, so that a section's borders depend on its content
@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lapforge.llm.common import free_name
 from lapforge.session import lookup
 
-MARKS = ".,;:!?…。，、；：！？।؟،؛"
+MARKS = ".,;:!?"
 REACH, SHORTEST = 48, 12
 BORDER = "[dgkmpy][ \t]"  # a word end after one of these letters, at SHORTEST code points or later
-PHRASE = f"[^{MARKS}]{{0,{REACH - 1}}}?[{MARKS}]|[^{MARKS}]{{{SHORTEST},{REACH - 2}}}?{BORDER}|[^{MARKS}]{{1,{REACH}}}"
+PHRASE = f"[^{MARKS}]{{0,{REACH - 1}}}+[{MARKS}]|[^{MARKS}]{{{SHORTEST},{REACH - 2}}}?{BORDER}|[^{MARKS}]{{1,{REACH}}}"
 LEAF, SECTION = 8, 16
 ROWS_PER_CHUNK = 4000
 

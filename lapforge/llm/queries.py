@@ -177,7 +177,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM n),
 t AS (SELECT doc_id, 'own' AS kind, text AS x FROM e UNION ALL SELECT doc_id, 'edit', edited FROM e UNION ALL SELECT doc_id, 'next', next_text FROM e),
-l AS (SELECT doc_id, kind, list_transform(string_split(x, chr(10)), lambda line: list_transform(regexp_extract_all(line, '[^.,;:!?…。，、；：！？।؟،؛]{0,47}?[.,;:!?…。，、；：！？।؟،؛]|[^.,;:!?…。，、；：！？।؟،؛]{12,46}?[dgkmpy][ \t]|[^.,;:!?…。，、；：！？।؟،؛]{1,48}'), lambda p: md5(p))) AS lines FROM t),
+l AS (SELECT doc_id, kind, list_transform(string_split(x, chr(10)), lambda line: list_transform(regexp_extract_all(line, '[^.,;:!?]{0,47}?[.,;:!?]|[^.,;:!?]{12,46}?[dgkmpy][ \t]|[^.,;:!?]{1,48}'), lambda p: md5(p))) AS lines FROM t),
 p AS (SELECT doc_id, kind, list_transform(lines, lambda y: {'hash': md5(coalesce(array_to_string(y, ','), '')), 'leaves': list_transform(y, lambda z: z[1:8])}) AS p FROM l),
 b AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: p[i].hash[1:1] < '4' OR i = len(p)) AS borders FROM p),
 s AS (SELECT *, list_transform(borders, lambda z, k: p[coalesce(borders[k - 1], 0) + 1 : z]) AS runs FROM b),
