@@ -202,9 +202,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = named.join(classes, ["d1", "d2"]).where("id = rep").select("d1", "d2", "id", "n", "bands").dropDuplicates(["d1", "d2"])
     bands = stored(own.select("id", "n", F.explode("bands").alias("band")), "bands")
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    centres = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
-    centres = stored(centres.select("band", F.col("c.id").alias("a"), F.col("c.n").alias("m")), "centres")
-    crowded = bands.join(centres, "band")
+    centres = bands.groupBy("band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("m"), F.count("*").alias("members")).where("members > 1")
+    # written once: the three readers below do not bring bands and centres together again
+    crowded = stored(bands.join(centres.select("band", "a", "m"), "band"), "crowded")
     # texts only of documents that share a band; whole rows are shuffled once
     asked = reps.join(crowded.select(F.col("id").alias("rep")).distinct(), "rep").withColumnRenamed("rep", "id")
     texts = stored(named.select("id", "d1", "d2", "bands", "packed").join(asked, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"]).drop("d1", "d2"), "texts")
