@@ -1,4 +1,4 @@
-"""Batch jobs: python -m lapforge.job {match,run,train,score,drift,purge} --help. Submit with spark-submit on a cluster.
+"""Batch jobs: python -m lapforge.job {match,run,train,score,drift,purge,monitor} --help. Submit with spark-submit on a cluster.
 
 match  circuit pages, sessions and a station catalogue -> circuit_urls and circuit_stations, as `run` reads them
 run    landed files -> scope, dataset, star schema, reports, checks
@@ -6,6 +6,7 @@ train  dataset -> features, models, runs table, importances
 score  requests -> predictions of the best stored model, with the rejected requests and their reasons
 drift  dataset -> drift per column and summary; with --run also the model's errors on both sides and the retrain decision
 purge  a table by category and month -> the same table without the rows past their retention, and what was deleted
+monitor  events that arrived since the last run -> minutes and gauges kept up to date, and the alerts that follow from them
 """
 
 import argparse
@@ -14,7 +15,7 @@ import sys
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapforge import schemas
+from lapforge import constants as K, schemas
 from lapforge.operators import drift, features, match, models, quality, runs, scope, serve, stages, stations
 from lapforge.operators.clean import CleanRules
 from lapforge.operators.dataset import SORT_COLS
@@ -22,7 +23,8 @@ from lapforge.operators.quality import all_passed
 from lapforge.operators.shape import limit_sessions, union_named
 from lapforge.plans import pipeline
 from lapforge.session import build_session, release, store
-from lapforge.sources import landing, pages, retention, sinks, star_store, weather_store
+from lapforge.sources import landing, pages, retention, sinks, star_store, stream, weather_store
+from lapforge.streaming.monitor import Monitor
 
 YEARS = [2023, 2024, 2025]
 PLACE = ["year", "meeting_key", "session_key", "driver_number", "lap_number"]
@@ -219,7 +221,14 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--table", required=True, help="folder category=<c>/month=<yyyy-MM>/ of Parquet files")
     g.add_argument("--stamp", default="ts", help="column with the age of a row")
     g.add_argument("--now", required=True, help="moment from which ages are counted")
-    for q in (r, t, d, m, s, g):
+    w = jobs.add_parser("monitor")
+    w.add_argument("--events", required=True, help="folder in which Parquet files of events arrive")
+    w.add_argument("--labels", nargs="+", default=["event_type"])
+    w.add_argument("--gauge-keys", nargs="+", default=["user_id"])
+    w.add_argument("--rule", choices=list(K.ALERT_RULES), help="rule whose alerts are written")
+    w.add_argument("--measure", default="error_ratio", help="column of the windows that plays the rule's measure")
+    w.add_argument("--partitions", type=int, help="state partitions; the first run fixes them")
+    for q in (r, t, d, m, s, g, w):
         q.add_argument("--out", required=True)
     return p
 
@@ -230,9 +239,18 @@ def purge(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def monitor(spark: SparkSession, a: argparse.Namespace) -> int:
+    kept = Monitor(stream.event_stream(spark, a.events), f"{a.out}/monitor", a.labels, a.gauge_keys, K.LATENCY_BUCKETS)
+    kept.run(a.partitions)
+    sinks.write_step(kept.windows(), f"{a.out}/windows")
+    if a.rule:
+        sinks.write_step(kept.alerts(a.rule, a.measure), f"{a.out}/alerts")
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    job = {"match": match_pages, "run": run, "train": train, "score": score, "drift": watch, "purge": purge}[args.job]
+    job = {"match": match_pages, "run": run, "train": train, "score": score, "drift": watch, "purge": purge, "monitor": monitor}[args.job]
     if spark is not None:
         return job(spark, args)
     spark = build_session(f"lapforge-{args.job}")

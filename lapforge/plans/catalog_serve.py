@@ -13,6 +13,7 @@ from lapforge.operators.shape import union_named
 from lapforge.session import freeze, fresh_path
 from lapforge.sources import star_store, stream
 from lapforge.streaming import rules
+from lapforge.streaming.monitor import Monitor
 
 FACT_PARTS = [FACTS_V, FACTS]
 LAP_OUT = ("meeting_key, session_key, driver_number, lap_number, year, circuit_key, "
@@ -606,7 +607,9 @@ def _(s):
     return df.withColumn("le", F.when(F.col("le") > 1e9, 1e9).otherwise(F.col("le")))
 
 
-@query("last_values", ctes(EVENTS) + f"""SELECT user_id, {r("arg_max(value, (ts, event_id))", "last_value")}, {t("max(ts)", "last_ts")} FROM events_v GROUP BY 1""")
+LAST_VALUES = ctes(EVENTS) + f"""SELECT user_id, {r("arg_max(value, (ts, event_id))", "last_value")}, {t("max(ts)", "last_ts")} FROM events_v GROUP BY 1"""
+
+@query("last_values", LAST_VALUES)
 def _(s): return rules.last_values(s.events, ["user_id"])
 
 
@@ -664,6 +667,21 @@ def _(s):
     return finished.unionByName(waiting).withColumn("closed", F.col("window_end") <= cut)
 
 
+def monitored(s):
+    """A monitor in a folder of its own that has taken up all events, in update mode: open windows are in its tables too."""
+    monitor = Monitor(event_stream(s), fresh_path(s.spark, "monitor"), ["event_type"], ["user_id"], B)
+    monitor.run()
+    return monitor
+
+
+@query("monitor_windows", ctes(EVENTS, MINUTE, WIDE) + SLIDING)
+def _(s): return monitored(s).windows()
+
+
+@query("monitor_gauge", LAST_VALUES)
+def _(s): return monitored(s).gauge.rows()
+
+
 # The published rules, each with its own comparison, limit and hold time, on measures made from events.
 RULE_MEASURES = {
     "HighPredictionLatency": ("quantile", "quantile / 20"), "HighPredictionErrorRate": ("error_ratio", "error_ratio"),
