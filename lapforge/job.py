@@ -77,7 +77,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if not a.verify_only and not a.skip_load and (a.force or not exists(spark, f"{star_path}/fact_laps")):
         stored = pipeline.Result(read("scope"), read("dataset"), read("summary"), {})
         tables = pipeline.load_star(stored.dataset, stored.scope, pipeline.latest_drivers(read("drivers")))
-        star_store.write(tables, star_path, "append" if a.append else "overwrite")
+        star_store.write(tables, star_path, "append" if a.append else "overwrite", placed=True)
     if a.skip_load:
         return 0
     landing.register_star(spark, star_path)

@@ -161,3 +161,25 @@ def test_empty_star(spark, tmp_path):
     star = star_store.StoredStar(spark, str(tmp_path))
     assert star_store.laps_page(star).count() == star_store.driver_laps(star, 1).count() == star_store.circuit_averages(star).count() == 0
     assert star_store.page_info(star).first()["total"] == 0 and sinks.missing_tables(spark, ["no_such_table"]) == ["no_such_table"]
+
+
+def test_facts_meet_and_are_ranged_in_one_shuffle(spark):
+    """Sessions of one place, of two, without a key, and a hot one: the same rows as by the plain way, and nothing is sorted before the shuffle."""
+    from lapforge.operators import star as loader
+
+    def row(session, driver, lap, year, circuit, at, seconds):
+        return (session, session, driver, lap, year, circuit, at, seconds)
+
+    laps = [row(s, d, n, 2023 + s % 3, s % 4, at, 80.0 + at) for s in range(1, 7) for d in (1, 2) for n in (1, 2, None) for at in (2, 1)]
+    laps += [row(7, 1, 1, 2023, 1, 2, 90.0), row(7, 1, 1, 2024, 2, 1, 91.0), row(7, 1, 2, 2023, 1, 1, 92.0), row(None, 1, 1, 2023, 1, 1, 93.0),
+             row(None, 1, 1, 2023, 1, 0, None), row(8, 3, 1, 2023, 1, 1, 1e12)] + [row(9, 1, 1, 2025, 3, at, 70.0 + at) for at in range(50)]
+    df = spark.createDataFrame(laps, "meeting_key long, session_key long, driver_number long, lap_number long, year long, circuit_key long, l_orderkey long, lap_duration double")
+    plain = loader.load_table(df, "fact_laps", order_by=["l_orderkey"]).where("lap_duration IS NOT NULL")
+    assert plain.count() == 6 * 2 * 3 + 2 + 1
+    for hot_rows in (1, 20, 1000):
+        made = loader.fact_laps(df, ["l_orderkey"], hot_rows)
+        assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+    plan = loader.fact_laps(df.where("session_key < 7"), ["l_orderkey"])._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan
+    assert "Sort" not in plan[plan.index("Exchange "):]
