@@ -108,3 +108,21 @@ def test_both_paths_give_the_same_bits(skewed):
     assert one == two
     one, two = (ordered.quantiles(odd, [], "value", probs, hot).first() for hot in (5, 10**6))
     assert tuple(one) == tuple(two)
+
+
+def test_medians_of_whole_columns_order_only_the_middle(spark, skewed, monkeypatch):
+    """The same bits as from sorted arrays, without the values being shuffled and put in order; NaN stands last."""
+    _, df = skewed
+    odd = df.withColumn("value", F.col("value") * 1.1 + F.col("pos") / 7).withColumn("few", F.col("pos") % 3).withColumn(
+        "none", F.lit(None).cast("double")).withColumn("nan", F.when(F.col("pos") % 5 > 1, F.lit(float("nan"))).otherwise(F.col("pos")))
+    columns = ["value", "pos", "few", "none", "nan"]
+    want = ordered.group_medians(odd, [], columns, 10**6).first()
+
+    def refuse(*_):
+        raise AssertionError("all values are put in order")
+
+    monkeypatch.setattr(ordered, "order_chunks", refuse)
+    got = ordered.group_medians(odd, [], columns, 10).first()
+    assert repr(got) == repr(want) and got["value_nulls"] > 0 and got["few_median"] == 1.0 and got["none_median"] is None
+    two = spark.createDataFrame([(1.0,), (2.0,), (None,)], "v double")
+    assert tuple(ordered.group_medians(two, [], ["v"], 1).first()) == (1.5, 1)
