@@ -149,11 +149,11 @@ def mixed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents, _ = mix(df, id_col, text_col, source_col, **options)
     copies = documents.where("size > 0").groupBy(id_col, source_col, "size").agg(
         F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("copies"), F.count("*").alias("rows"))
-    key, src, size = (f"mix_{c}" for c in ("id", "source", "size"))
+    key, src, size, times = (free_name(df, f"mix_{c}") for c in ("id", "source", "size", "copies"))
     copies = copies.select(F.col(id_col).alias(key), F.col(source_col).alias(src), F.col("size").alias(size),
-                           F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("mix_copies")).where("mix_copies > 0")
+                           F.ceil(F.col("copies") / F.col("rows")).cast("int").alias(times)).where(F.col(times) > 0)
     met = df.join(copies, df[id_col].eqNullSafe(copies[key]) & df[source_col].eqNullSafe(copies[src]) & (word_count(df[text_col]) == copies[size]))
-    return met.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*(df[c] for c in df.columns))
+    return met.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*(df[c] for c in df.columns))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -173,18 +173,21 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passed = lambda x: F.shiftright(x + (1 << UNIT_BITS - 1), UNIT_BITS)
     copies = placed.groupBy("mix_id", "mix_source", "mix_size").agg(
         F.sum(passed(F.col("before") + F.col("share")) - passed(F.col("before"))).alias("mix_copies"), F.count("*").alias("mix_rows"))
-    copies = stored(copies.where("mix_copies > 0"), "copies")
+    # columns of any name stand beside the operator's
+    key, src, size, times, alike = (free_name(df, f"mix_{c}") for c in ("id", "source", "size", "copies", "rows"))
+    copies = copies.where("mix_copies > 0").withColumnsRenamed({"mix_id": key, "mix_source": src, "mix_size": size, "mix_copies": times, "mix_rows": alike})
+    copies = stored(copies, "copies")
 
     def met(of: DataFrame) -> DataFrame:
-        return df.join(of, df[id_col].eqNullSafe(of["mix_id"]) & df[source_col].eqNullSafe(of["mix_source"]) & (word_count(df[text_col]) == of["mix_size"]))
+        return df.join(of, df[id_col].eqNullSafe(of[key]) & df[source_col].eqNullSafe(of[src]) & (word_count(df[text_col]) == of[size]))
 
-    def repeated(rows: DataFrame, times: Column) -> DataFrame:
-        return rows.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*df.columns)
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*df.columns)
 
-    out = repeated(met(copies.where("mix_rows = 1")), F.col("mix_copies"))
-    if copies.where("mix_rows > 1").limit(1).count():  # only then do rows have to be numbered, which takes another shuffle of texts
-        alike, nth = met(copies.where("mix_rows > 1")), free_name(df, "mix_nth")
-        alike = numbered(alike, ["mix_id", "mix_source", "mix_size"], [F.xxhash64(text_col)], F.xxhash64(text_col), nth)
-        each = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (F.col(nth) < F.col("mix_copies") % F.col("mix_rows")).cast("int")
-        out = out.unionByName(repeated(alike.withColumn("mix_copies", each).where("mix_copies > 0"), F.col("mix_copies")))
+    out = repeated(met(copies.where(F.col(alike) == 1)))
+    if copies.where(F.col(alike) > 1).limit(1).count():  # only then do rows have to be numbered, which takes another shuffle of texts
+        several, nth = met(copies.where(F.col(alike) > 1)), free_name(df, "mix_nth")
+        several = numbered(several, [key, src, size], [F.xxhash64(text_col)], F.xxhash64(text_col), nth)
+        each = F.floor(F.col(times) / F.col(alike)) + (F.col(nth) < F.col(times) % F.col(alike)).cast("int")
+        out = out.unionByName(repeated(several.withColumn(times, each).where(F.col(times) > 0)))
     return out
