@@ -2,20 +2,37 @@
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from lapforge.functions.memory import give_back
+
 
 def _ascii(value: str) -> str:
     return unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode("ascii")
 
 
+# White space that str.strip takes off, as far as it is ASCII.
+BLANKS = " \t\n\v\f\r\x1c\x1d\x1e\x1f"
+
+
 @F.pandas_udf(T.StringType())
-def fold_ascii(s: pd.Series) -> pd.Series:
-    """Lower case, accents dropped, non-ASCII dropped. Spark has no compatibility decomposition."""
-    return s.map(lambda v: None if v is None else _ascii(v.strip().lower()))
+def fold_marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Spark has no compatibility decomposition. Workers live on from task to task, so memory goes back with each one's end."""
+    try:
+        for s in batches:
+            yield s.map(lambda v: None if v is None else _ascii(v.strip().lower()))
+    finally:
+        give_back()
+
+
+def fold_ascii(c: Column) -> Column:
+    """Lower case, accents dropped, non-ASCII dropped. Texts that are ASCII already stay out of the Python workers."""
+    marked = c.rlike(r"[^\x00-\x7F]")
+    return F.when(marked, fold_marked(F.when(marked, c))).otherwise(F.lower(F.btrim(c, F.lit(BLANKS))))
 
 
 def norm_text(c: str | Column) -> Column:

@@ -6,6 +6,7 @@ from contextlib import contextmanager
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from lapforge.functions.memory import give_back
 from lapforge.session import fresh_path, lookup, shared_folder
 
 # White space of the word definition used throughout: space, tab, line feed, vertical tab, form feed, return.
@@ -109,20 +110,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def give_back() -> None:
-    """Free memory goes back to the system: Python workers live on from task to task and from stage to stage."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def tidy(task):
     """The same mapInArrow function, which gives back memory when a task ends."""
     def run(batches):

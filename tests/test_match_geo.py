@@ -135,3 +135,13 @@ def test_station_choice(spark):
     assert named == {"001": "One", "002": "Zwei", "004": None}
     folders = {r["station_id"]: r["folder"] for r in stations.station_folders(stations.choose_stations(cand)).collect()}
     assert folders == {"002": "002__c1__l1", "005": "005__c2__l2"}
+
+
+def test_only_texts_with_marks_reach_python(spark):
+    """Folding equals the plain way on odd texts, and ASCII ones are folded in place."""
+    from lapforge.functions import text as folding
+    odd = ["\x1f a\x85 B\x1c", "\xa0xÉ ", "  ABC\n", "", "ﬁn", "\x00A", None, "İI", "A ", " \x0b\x0c\x1d", "Straße-Ñ 9"]
+    df = spark.createDataFrame([(v,) for v in odd], "v string").select("v", folding.fold_ascii(F.col("v")).alias("folded"))
+    assert [r["folded"] for r in df.collect()] == [None if v is None else folding._ascii(v.strip().lower()) for v in odd]
+    sent = df._jdf.queryExecution().optimizedPlan().toString().split("fold_marked(")[1]
+    assert sent.startswith("CASE WHEN RLIKE(") or "RLIKE" in sent.split(")#")[0]
