@@ -9,18 +9,17 @@ a small table of runs; each piece finds its run by its length and its number amo
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, free_name, numbered, stored, tidy
+from lapforge.llm.common import free_name, numbered, stored, tidy
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
-WORDS_PER_CALL = 4096
-TEXT_BYTES = 1 << 21
+CACHED_WORDS = 600_000  # of a worker, which keeps them from task to task
+WORDS_PER_CALL = 256
+TEXT_BYTES = 1 << 22
 
 
 class Openings:
@@ -99,72 +98,90 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return out
 
 
-# Full stops and commas after a letter are tokens of their own, so a space before them changes nothing; neither does ASCII case.
-STOPS = re.compile(rb"(?<=[a-z])([.,]+)(?=\s|$)")
-# Words of Latin letters that are whole characters already, after lower-casing: nothing in them is normalised or split.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+")
+# Latin letters that are whole characters already and have one lower-case form, then ASCII marks but the apostrophe, which can begin a
+# pre-token of its own with letters: a run of the one and a run of the other are one pre-token each, and nothing in them is normalised.
+PARTS = r"^(?P<letters>[a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Parts of a text whose ids, one after the other, are the ids of the text."""
-    return STOPS.sub(rb" \1", text.lower()).split()
-
-
-def parts_of(text: bytes, special: dict[bytes, int], cut: re.Pattern | None) -> list[bytes | int]:
-    """words_of a text cut at the exact literals of special tokens, which stand as their ids. Those match as written, inside words too."""
-    if cut is None or not cut.search(text):
-        return words_of(text)
-    return list(chain.from_iterable([special[x]] if k % 2 else words_of(x) for k, x in enumerate(cut.split(text))))
-
-
-def byte_letters() -> dict[int, str]:
-    """How the vocabulary writes the code points 0 .. 255 that stand for bytes: printable ones as they are, the others from 256 up."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values from each start on, as many as its size says, one run after the other."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class WordIds(dict):
-    """Ids of white-space separated words; a number is a special token's id. The vocabulary drops white space and never joins across it."""
+    """Numbers of words, and the ids that each number stands for. Words end at white space, which the vocabulary drops and never joins
+    across; a run of letters and a run of marks in a word count as words of their own."""
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers as P
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # texts are cut at the literals before; a word that lower-cases to one is not one
         added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {k: added[k] for k in sorted(added, key=len, reverse=True)}
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if self.special else None
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-
-    def __missing__(self, number: int) -> tuple[int]:
-        return (number,)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Know the ids of words. Plain unknown ones go straight to the model, the others are encoded many at a time, with spaces between;
-        a token's offset tells its word."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > max(CACHED_WORDS, 2 * len(words)):
-            self.clear()
-            new = list(words)
-        rest = []
-        for w in new:
-            text = w.decode("utf-8", "replace").lower()
-            if PLAIN.fullmatch(text):
-                letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-                self[w] = tuple([t.id for t in self.model.tokenize(letters)])
+        self.single = Tokenizer(self.tokenizer.model)  # for what is one pre-token already
+        self.single.pre_tokenizer = P.Sequence([P.WhitespaceSplit(), P.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self[""] = 0
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(2, np.int64)  # the ids of number k end at ends[k + 1]
+
+    def learn(self, words: list[str], whole: bool) -> None:
+        """Know the ids of words, encoded many at a time with spaces between. whole: they are one pre-token each and in lower case;
+        of others, a token's offset tells the word."""
+        ids, sizes = [self.ids], []
+        for at in range(0, len(words), WORDS_PER_CALL):
+            part = words[at:at + WORDS_PER_CALL]
+            got = (self.single if whole else self.tokenizer).encode(" ".join(part), add_special_tokens=False)
+            ids.append(np.array(got.ids, np.int32))
+            if whole:
+                sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
             else:
-                rest.append(w)
-        for at in range(0, len(rest), WORDS_PER_CALL):
-            part = [w.decode("utf-8", "replace") for w in rest[at:at + WORDS_PER_CALL]]
-            ends = np.cumsum([len(w) + 1 for w in part])
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, starts = found.ids, np.fromiter((x for x, _ in found.offsets), np.int64)
-            edges = np.searchsorted(starts, ends).tolist()
-            begin = 0
-            for w, end in zip(rest[at:at + WORDS_PER_CALL], edges):
-                self[w] = tuple(ids[begin:end])
-                begin = end
+                starts = np.fromiter((x for x, _ in got.offsets), np.int64)
+                sizes.append(np.diff(np.searchsorted(starts, np.cumsum([len(w) + 1 for w in part])), prepend=0))
+        if words:
+            self.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
+            self.ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(np.concatenate(sizes))])
+            self.ids = np.concatenate(ids)
+
+    def numbers(self, words, whole: bool) -> np.ndarray:
+        """The number of each word of an Arrow array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        coded = words.dictionary_encode()
+        if not len(coded.dictionary):
+            return np.zeros(0, np.int64)
+        offsets = pa.array([0, len(coded.dictionary)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, coded.dictionary.cast(pa.binary())), b" ")[0].as_py()
+        distinct = joined.decode("utf-8", "replace").split(" ")
+        self.learn(list({w: None for w in distinct if w not in self}), whole)
+        return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+
+    def text_ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of texts, one after the other, and how many each text has."""
+        import pyarrow.compute as pc
+        if len(self) > CACHED_WORDS:
+            self.forget()
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        parts = pc.extract_regex(words, PARTS)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        parts, pairs = parts.drop_null(), np.zeros((len(words), 2), np.int64)
+        pairs[plain, 0] = self.numbers(pc.utf8_lower(parts.field("letters")), whole=True)
+        pairs[plain, 1] = self.numbers(parts.field("marks"), whole=True)
+        pairs[~plain, 0] = self.numbers(words.filter(~plain), whole=False)
+        each = self.ends[pairs + 1] - self.ends[pairs]
+        ids, each = gathered(self.ids, self.ends[pairs].ravel(), each.ravel()), each.sum(axis=1)
+        word = coded.indices.to_numpy()
+        sizes = each[word]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return gathered(ids, (np.cumsum(each) - each)[word], sizes), np.diff(upto[lists.offsets.to_numpy()])
 
 
 _loaded: dict[str, WordIds] = {}
@@ -185,35 +202,44 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def cut(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         words = _loaded.get(tokenizer_path) or _loaded.setdefault(tokenizer_path, WordIds(tokenizer_path))
-        cut_at = words.cut if special_tokens else None
 
-        def packed(rows, flat):
-            at, piece, start, length, crc = zip(*rows)
-            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
-            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                                               pa.array(length, pa.int64()), ids, pa.array(crc, pa.int64())], names=schema.names)
+        def split(texts, words):
+            """Parts of the texts between special literals, the id behind each part, and the place of each text's last part."""
+            if not special_tokens or not any(pc.any(pc.match_substring(texts, x)).as_py() for x in words.special):
+                return texts, end_id, np.arange(len(texts))
+            cuts = [words.cut.split(x) for x in texts.cast(pa.binary()).to_pylist()]
+            behind = [i for own in cuts for i in (*map(words.special.__getitem__, own[1::2]), end_id)]
+            parts = pa.array([x for own in cuts for x in own[::2]], pa.binary())
+            return parts.view(pa.string()), behind, np.cumsum([(len(own) + 1) // 2 for own in cuts]) - 1
 
         for batch in batches:
-            keys, texts = batch.column(0), bytes_of(batch, text_col)
+            keys, texts = batch.column(0), batch.column(1).fill_null("")
             edges, held = [0], 0
-            for i, text in enumerate(texts):  # documents of about TEXT_BYTES at a time
-                held += len(text)
+            for i, size in enumerate(pc.binary_length(texts).to_pylist()):  # documents of about TEXT_BYTES at a time
+                held += size
                 if held > TEXT_BYTES or i == len(texts) - 1:
                     edges.append(i + 1)
                     held = 0
             for first, last in zip(edges, edges[1:]):
-                split, rows, flat = [parts_of(t, words.special, cut_at) for t in texts[first:last]], [], []
-                words.learn(set(chain.from_iterable(split)) - {*words.special.values()})
-                for i, own in enumerate(split, first):
-                    ids = np.fromiter(chain(chain.from_iterable(map(words.__getitem__, own)), (end_id,)), np.int32)
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start:start + capacity]
-                        rows.append((i, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
-                        flat.append(part)
-                yield packed(rows, flat)
-        words.clear()  # the worker lives on; the tokenizer stays loaded, its words go
+                # Each part of a text has one id behind it: that of a special token, or end_id.
+                parts, behind, closing = split(texts.slice(first, last - first), words)
+                found, sizes = words.text_ids(parts)
+                ends = np.cumsum(sizes + 1)
+                ids, own = np.empty(len(found) + len(sizes), np.int32), np.ones(len(found) + len(sizes), bool)
+                own[ends - 1] = False
+                ids[own], ids[ends - 1] = found, behind
+                rows, begin, raw = [], 0, ids.astype("<u4")
+                for i, end in enumerate(ends[closing].tolist(), first):
+                    for piece, at in enumerate(range(begin, end, capacity)):
+                        upto = min(at + capacity, end)
+                        rows.append((i, piece, at - begin, upto - at, zlib.crc32(raw[at:upto])))
+                    begin = end
+                at, piece, start, length, crc = zip(*rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                                                  pa.array(length, pa.int64()), lists, pa.array(crc, pa.int64())], names=schema.names)
 
     if not os.path.exists(tokenizer_path):
         raise FileNotFoundError(tokenizer_path)

@@ -96,3 +96,24 @@ def test_special_tokens_are_those_of_the_tokenizer(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     crc = {r["doc_id"]: r["ids_crc32"] for r in QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).where("piece = 0").collect()}
     assert crc == {i: zlib.crc32(np.array(ids[:4096], "<u4").tobytes()) for i, ids in want.items()}
+
+
+def test_letters_and_marks_are_merged_once_whatever_words_they_are_in():
+    """Texts of many words made of few parts: each part is encoded once, also for later batches, and the ids are the tokenizer's."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    from lapforge.llm.packing import WordIds
+    t = Tokenizer.from_file(tokenizer())
+    t.encode_special_tokens = True
+    words = WordIds(tokenizer())
+    r = random.Random(3)
+    heads, marks = ["Lap", "ÉTÉ", "straße", "Ÿes", "box", ""], ["", ",", ".", "!!", "$$$", "),"]
+    texts = ["", " \x0b ", *(" ".join(r.choice(heads) + r.choice(marks) for _ in range(r.randrange(60))) for _ in range(200)), "it's 3 é́ İx KKm \x85 \x1c ×,"]
+    encoded = []
+    learn = words.learn
+    words.learn = lambda new, whole: (encoded.extend(new), learn(new, whole))
+    for _ in range(2):
+        ids, sizes = words.text_ids(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    odd = {"it's", "3", "é́", "İx", "kKm", "\x85", "\x1c", "×,"}
+    assert len(encoded) == len(set(encoded)) and set(encoded) == {"lap", "été", "straße", "ÿes", "box", ",", ".", "!!", "$$$", "),"} | odd
