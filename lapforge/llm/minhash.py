@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, mixed, stored, tidy, tidy_group
+from lapforge.llm.common import bytes_of, mixed, stored, tidy, tidy_group, turns
 from lapforge.llm.graph import components
 from lapforge.llm.hashing import shingle_set
 
@@ -86,7 +86,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
             return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bands, pa.array(packed, pa.binary())],
                                               names=["id", "n", "d1", "d2", "bands", "packed"])
 
-        for batch in batches:
+        for batch in (x for whole in batches for x in turns(whole, text_col)):
             ids, first, sets, packed, held = batch.column(0), 0, [], [], 0
             for i, text in enumerate(bytes_of(batch, text_col)):
                 sets.append(shingle_set(text, words))

@@ -4,8 +4,8 @@ Every window of `span` bytes has an anchor: its gram of GRAM bytes with the smal
 windows have equal anchors at equal places, so only windows around equal anchor grams need to be compared, and anchors
 are a few hundredths of all positions. The context of an anchor is the stretch of all windows that it stands for.
 
-1. Each task finds the anchors of its documents. Equal contexts within the task are settled on the spot. One record per
-   gram and task goes to the bucket of the gram's hash, where grams that occur elsewhere too are found.
+1. Each task finds the anchors of its documents, some megabytes of text at a time (a turn). Equal contexts within a turn's buffers are
+   settled on the spot. One record per gram and turn goes to the bucket of the gram's hash, where grams that occur elsewhere too are found.
 2. Documents learn which of their anchors repeat, and send those contexts, again after settling equal ones, to buckets.
 3. In a bucket, equal contexts are settled first. The windows of the contexts that are left are suffixes of one buffer.
    Prefix polynomial hashes and binary search give the common extension of two suffixes, a mergesort orders the suffixes
@@ -21,7 +21,7 @@ Every claim of equality is verified on bytes; hash collisions cost time, never a
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lapforge.llm.common import bytes_of, mixed, stored, tidy, tidy_group
+from lapforge.llm.common import bytes_of, mixed, stored, tidy, tidy_group, turns
 from lapforge.llm.hashing import CODES, powers, prefix, stretch
 
 SPAN, GRAM = 100, 40
@@ -177,7 +177,7 @@ def _scan(span: int, gram: int, buckets: int):
     longest = 2 * span - gram
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in turns(whole, "text")):
             ids, texts, _ = _in_order(batch, "doc", "text")
             found, settled = [], []
             for s, docs, offsets, starts in _segments(texts, span):
@@ -213,7 +213,7 @@ def _scan(span: int, gram: int, buckets: int):
             one = r[order[firsts]].copy()
             one["count"] = counts
             rows = [(b, len(x), _columns(x), None) for b, x in _dealt((one["gram"] % np.uint64(buckets)).astype(np.int64), one)]
-            # grams that have several contexts in this task are known to repeat; what is known goes along, spread over buckets
+            # grams that have several contexts in this turn are known to repeat; what is known goes along, spread over buckets
             known = r[order[several]]
             d, a, b = np.concatenate(settled, axis=1)
             cut = np.zeros(len(d), RECORD)
@@ -284,7 +284,7 @@ def _send(span: int, gram: int, buckets: int, crowded: np.ndarray):
     def run(batches):
         import zstandard
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in (x for whole in batches for x in turns(whole, "text")):
             ids, texts, order = _in_order(batch, "doc", "text")
             lists = batch.column("asked")
             edges, flat = np.asarray(lists.offsets), np.asarray(lists.flatten())
@@ -573,7 +573,7 @@ def kept_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
     def apply(batches):
         import pyarrow as pa
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (x for whole in batches for x in turns(whole, "text")):
             lists = batch.column("stretches")
             out = []
             for i, text in enumerate(bytes_of(batch, "text")):

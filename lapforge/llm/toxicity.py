@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lapforge.llm.common import free_name, tidy
+from lapforge.llm.common import free_name, tidy, turns
 
 EXAMPLES = 20_000
 NEIGHBOURS = 15
@@ -307,7 +307,7 @@ def score(docs: DataFrame, index: Index, keep: list[str], text_col: str = "text"
     def run(batches):
         import pyarrow as pa
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.float64())]))
-        for b in batches:
+        for b in (x for whole in batches for x in turns(whole, asked)):
             found = [shared.value.score(x or "") for x in b.column(asked).to_pylist()]
             scores = [min(1.0, max(0.0, s)) for s, _ in found]
             near = [[{"doc_id": d, "similarity": s, "toxic": t} for d, s, t in x] for _, x in found]

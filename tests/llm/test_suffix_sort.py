@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from lapforge.llm import suffixes
+from lapforge.llm.common import turns
 from lapforge.llm.hashing import prefix
 from helpers import frame, odd_texts, prose, without_repeats
 
@@ -85,3 +87,38 @@ def test_different_windows_under_one_hash(spark, monkeypatch):
     rows = np.frombuffer(a + b + a, np.uint8).reshape(3, 100)
     doc, start, end = suffixes._windows(r, rows, 100)
     assert doc.tolist() == [3] and (end - start).tolist() == [100]
+
+
+def whole_task(mb: int):
+    """One Arrow batch of documents (doc, text) of 16 kB, as Spark hands over the texts of a task."""
+    import pyarrow as pa
+    letters = np.random.RandomState(3).randint(97, 123, mb << 20).astype(np.uint8).tobytes().decode()
+    return pa.RecordBatch.from_arrays([pa.array(range(mb << 6)), pa.array([letters[i << 14:(i + 1) << 14] for i in range(mb << 6)])], names=["doc", "text"])
+
+
+def test_memory_of_the_scan_does_not_grow_with_the_batch():
+    """Anchors are held for a turn of texts: a batch three times as long takes little more. All of them are found."""
+    most, found = {}, {}
+    for mb in (8, 24):
+        batch, records = whole_task(mb), 0
+        tracemalloc.start()
+        for out in suffixes._scan(100, 40, 64)([batch]):
+            records += sum(out.column("n").to_pylist())
+        most[mb], found[mb] = tracemalloc.get_traced_memory()[1], records
+        tracemalloc.stop()
+    assert most[24] < 1.5 * most[8]
+    assert found[24] > 2.9 * found[8]
+
+
+def test_turns_hold_every_row_once():
+    import pyarrow as pa
+    texts = ["a" * 10, None, "", "b" * 95, "c" * 30, "é" * 40, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["doc", "text"])
+    for most in (1, 40, 100, 10_000):
+        parts = list(turns(batch, "text", most))
+        assert [x for p in parts for x in p.column("text").to_pylist()] == texts
+        assert [x for p in parts for x in p.column("doc").to_pylist()] == list(range(7))
+        for p in parts:  # beyond the limit goes only the text that reaches it
+            sizes = [len((x or "").encode()) for x in p.column("text").to_pylist()]
+            assert sum(sizes) - max(sizes) <= most
+    assert len(list(turns(batch, "text", 10_000))) == 1 and len(list(turns(batch, "text", 100))) == 3 and not list(turns(batch.slice(0, 0), "text"))
