@@ -69,12 +69,13 @@ def part_enum(words: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b), once each way: the words (word, n) that differ by one code point put in, taken out or replaced.
 
-    Pairs are looked at inside the join and leave it only when they are near, so no list of candidates is written.
+    Pairs are looked at inside the join and leave it only when they are near, so no list of candidates is written. Both sides
+    are shuffled: Spark sizes the 24 rows of a word by the compressed file of the words, and would broadcast what no driver holds.
     """
     rows = part_enum(words)
     short = rows.where("is_short").select("signature", F.col("word").alias("a"), F.col("n").alias("n_a"))
     other = rows.select("signature", F.col("word").alias("b"), F.col("n").alias("n_b"), "is_short")
-    met = short.join(other, "signature").where((~F.col("is_short") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    met = short.hint("merge").join(other.hint("merge"), "signature").where((~F.col("is_short") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
     once = met.select("a", "n_a", "b", "n_b").distinct()
     turn = F.array(F.struct("a", "n_a", "b", "n_b"), F.struct(F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("a").alias("b"), F.col("n_a").alias("n_b")))
     return once.select(F.explode(turn).alias("p")).select("p.*")
@@ -105,10 +106,11 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
         "word", F.when(enough, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(enough, -F.col("best.less")).alias("form_n"))
     out = stored(out, "forms")
-    # a form is more frequent than its word, so the chains end; each round follows them twice as far
+    # a form is more frequent than its word, so the chains end; each round follows them twice as far. Stored words are sized by
+    # their compressed files here, too, so they are never broadcast
     range_ = words.agg(F.max("n").alias("most"), F.min("n").alias("least")).first()
     root = out.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     for _ in range(rounds_needed(range_["most"], ratio, max(range_["least"] or 1, 1))):
         step = root.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        root = stored(root.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
-    return out.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        root = stored(root.join(step.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
+    return out.join(root.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -93,6 +93,14 @@ def test_a_crowded_signature_does_not_lose_pairs(spark):
     assert rows_of(spelling.variants(table(spark, counts))) == by_all_pairs(counts)
 
 
+def test_words_are_not_broadcast_by_the_size_of_their_file(spark):
+    """Each word has 24 rows in the join, and the file of a hundred thousand words is small enough for a broadcast."""
+    words = spelling.stored(table(spark, {"abcdef": 5, "abcdeg": 50}))
+    for df in (spelling.near_pairs(words), spelling.variants(words)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(spelling.variants(words)) == by_all_pairs({"abcdef": 5, "abcdeg": 50})
+
+
 def test_odd_rows(spark):
     words = spark.createDataFrame([(None, 5), ("abc", None), ("", 3), ("abcd", 2), ("abce", 10)], "word string, n long")
     clash = words.withColumns({c: F.lit("x") for c in ("a", "b", "form", "root", "signature", "n_near", "m", "part")})
