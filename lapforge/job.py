@@ -138,7 +138,8 @@ def train(spark: SparkSession, a: argparse.Namespace) -> int:
     dataset = spark.read.parquet(f"{a.out}/dataset")
     flagged = store(features.stratified_flag(dataset) if a.split == "stratified" else features.temporal_flag(dataset))
     prepared = stages.preparation().fit(flagged)
-    data = prepared.transform(flagged)
+    # each family and the search read this copy, so the laps are put in order once
+    data = store(prepared.transform(flagged))
     records: list[DataFrame] = []
     for family in a.families:
         for tuned in ([False, True] if a.tuned else [False]):
